@@ -1,9 +1,15 @@
 """The registered query and, where SQL can express it, the SQL of each operator."""
 
-from . import line_dedup, quality_rules, secret_scan
+from . import line_dedup, packing, piece_codec, quality_rules, secret_scan
 from .common import table
 
 
+def model_bytes() -> bytes:
+    import public_tokenizers
+
+    return piece_codec.read_model(public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def _documents(query):
     return lambda spark, sf_dir: query(table(spark, sf_dir, "documents"))
 
@@ -12,7 +18,9 @@ def queries() -> dict:
     return {
         "op1_secret_scan": _documents(secret_scan.query),
         "op2_quality_rules": _documents(quality_rules.query),
+        "op3_packing": _documents(lambda docs: packing.pack(docs, model_bytes())),
         "op9_line_dedup": _documents(line_dedup.query),
+        "op10_piece_codec": _documents(lambda docs: piece_codec.digest(docs, model_bytes())),
     }
 
 
