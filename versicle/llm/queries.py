@@ -1,6 +1,6 @@
 """The registered query and, where SQL can express it, the SQL of each operator."""
 
-from . import line_dedup, packing, piece_codec, quality_rules, secret_scan
+from . import decontamination, line_dedup, packing, piece_codec, quality_rules, rule_ensemble, secret_scan
 from .common import table
 
 
@@ -19,10 +19,12 @@ def queries() -> dict:
         "op1_secret_scan": _documents(secret_scan.query),
         "op2_quality_rules": _documents(quality_rules.query),
         "op3_packing": _documents(lambda docs: packing.pack(docs, model_bytes())),
+        "op5_decontamination": lambda spark, sf_dir: decontamination.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
+        "op8_rule_ensemble": lambda spark, sf_dir: rule_ensemble.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
         "op9_line_dedup": _documents(line_dedup.query),
         "op10_piece_codec": _documents(lambda docs: piece_codec.digest(docs, model_bytes())),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": quality_rules.SQL, "op9_line_dedup": line_dedup.SQL}
+    return {"op2_quality_rules": quality_rules.SQL, "op5_decontamination": decontamination.SQL, "op9_line_dedup": line_dedup.SQL}
