@@ -1,6 +1,6 @@
 """The registered query and, where SQL can express it, the SQL of each operator."""
 
-from . import decontamination, line_dedup, packing, piece_codec, quality_rules, rule_ensemble, secret_scan
+from . import decontamination, line_dedup, packing, pii_surrogates, piece_codec, quality_rules, rule_ensemble, secret_scan
 from .common import table
 
 
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op1_secret_scan": _documents(secret_scan.query),
         "op2_quality_rules": _documents(quality_rules.query),
         "op3_packing": _documents(lambda docs: packing.pack(docs, model_bytes())),
+        "op4_pii_surrogates": _documents(pii_surrogates.query),
         "op5_decontamination": lambda spark, sf_dir: decontamination.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
         "op8_rule_ensemble": lambda spark, sf_dir: rule_ensemble.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
         "op9_line_dedup": _documents(line_dedup.query),

@@ -112,17 +112,17 @@ def _tree_rules(x: np.ndarray, g: np.ndarray, h: np.ndarray, cuts: list[np.ndarr
     return step, paths
 
 
-def fit_rules(x: np.ndarray, y: np.ndarray, trees: int = 24, depth: int = 3, rate: float = 0.3, penalty: float = 0.002, rounds: int = 400) -> Ensemble:
+def fit_rules(x: np.ndarray, y: np.ndarray, trees: int = 24, depth: int = 3, rate: float = 0.3, penalty: float = 0.0005, rounds: int = 400) -> Ensemble:
     if not len(y):
         return Ensemble(0.0, [])
     base = float(np.clip(y.mean(), 1e-3, 1 - 1e-3))
     if y.min() == y.max():
         return Ensemble(float(np.log(base / (1 - base))), [])
-    cuts = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, 65)[1:-1])) for f in range(x.shape[1])]
+    cuts = [(q[1:] + q[:-1]) / 2 for f in range(x.shape[1]) for q in [np.unique(np.quantile(x[:, f], np.linspace(0, 1, 65)))]]
     z, rules = np.full(len(y), np.log(base / (1 - base))), {}
     for _ in range(trees):
         p = 1 / (1 + np.exp(-z))
-        step, paths = _tree_rules(x, p - y, p * (1 - p), cuts, depth, max(5, len(y) // 400))
+        step, paths = _tree_rules(x, p - y, p * (1 - p), cuts, depth, max(5, len(y) // 100))
         z += rate * step
         rules |= dict.fromkeys(paths)
     held = {r: r.holds(x) for r in rules}
@@ -130,8 +130,8 @@ def fit_rules(x: np.ndarray, y: np.ndarray, trees: int = 24, depth: int = 3, rat
     if not rules:
         return Ensemble(float(np.log(base / (1 - base))), [])
     m = np.stack([held[r] for r in rules], 1).astype(np.float64)
-    mean, sd = m.mean(0), m.std(0)
-    m = (m - mean) / sd
+    mean = m.mean(0)
+    m = m - mean  # not scaled: the penalty then weighs on rules that few rows decide
     # accelerated proximal gradient; the intercept is not penalised
     size = len(y)
     v = np.ones(m.shape[1])
@@ -150,7 +150,7 @@ def fit_rules(x: np.ndarray, y: np.ndarray, trees: int = 24, depth: int = 3, rat
         u, c = new + (t - 1) / nt * (new - w), nb + (t - 1) / nt * (nb - b)
         w, b, t = new, nb, nt
     kept = np.flatnonzero(np.abs(w) > 1e-9)
-    return Ensemble(float(b - (w[kept] * mean[kept] / sd[kept]).sum()), [(rules[k], float(w[k] / sd[k])) for k in kept])
+    return Ensemble(float(b - (w[kept] * mean[kept]).sum()), [(rules[k], float(w[k])) for k in kept])
 
 
 def held_out(id_col: str = "doc_id") -> Column:
