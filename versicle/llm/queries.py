@@ -1,6 +1,6 @@
 """The registered query and, where SQL can express it, the SQL of each operator."""
 
-from . import decontamination, line_dedup, packing, pii_surrogates, piece_codec, quality_rules, rule_ensemble, secret_scan
+from . import decontamination, line_dedup, packing, pii_surrogates, piece_codec, quality_rules, rule_ensemble, secret_scan, shingle_join
 from .common import table
 
 
@@ -21,6 +21,7 @@ def queries() -> dict:
         "op3_packing": _documents(lambda docs: packing.pack(docs, model_bytes())),
         "op4_pii_surrogates": _documents(pii_surrogates.query),
         "op5_decontamination": lambda spark, sf_dir: decontamination.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
+        "op6_shingle_join": _documents(shingle_join.query),
         "op8_rule_ensemble": lambda spark, sf_dir: rule_ensemble.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
         "op9_line_dedup": _documents(line_dedup.query),
         "op10_piece_codec": _documents(lambda docs: piece_codec.digest(docs, model_bytes())),
@@ -28,4 +29,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": quality_rules.SQL, "op5_decontamination": decontamination.SQL, "op9_line_dedup": line_dedup.SQL}
+    return {"op2_quality_rules": quality_rules.SQL, "op5_decontamination": decontamination.SQL, "op6_shingle_join": shingle_join.SQL, "op9_line_dedup": line_dedup.SQL}
