@@ -18,30 +18,32 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, text_of
+from .common import SPACE, let, text_of
 
 MAX_ROWS, THRESHOLD = 12_000, 0.3
 STATS = ("log_words", "word_length", "symbols", "bangs", "bars", "distinct", "capitals", "digits", "echoes", "repeated_lines", "letters")
 
 
-def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with `_stats`, a struct of STATS. Ratios are to the number of words or characters."""
-    text = text_of(text_col)
+def stats_of(text: Column) -> Column:
+    """A struct of STATS. Ratios are to the number of words or characters. Words and lines are bound once, so that a
+    filter on the score can move below the projection without repeating their work."""
     rest = lambda p: F.char_length(F.regexp_replace(text, p, ""))
-    out = docs.withColumns({
-        "_w": F.filter(F.split(text, f"[{SPACE}]+", -1), lambda w: w != ""),
-        "_l": F.filter(F.split(text, "\n", -1), lambda x: x != ""),
-        "_n": F.char_length(text),
-    })
-    n, w, lines, chars = F.size("_w"), F.col("_w"), F.col("_l"), F.col("_n")
     by = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
-    values = (
-        F.log1p(n), by(rest(f"[{SPACE}]+"), n), by(chars - rest(r"[#*$%&|<>]+"), n), by(F.regexp_count(text, F.lit("!!")), n),
-        by(F.regexp_count(text, F.lit(r" \| ")), n), by(F.size(F.array_distinct(w)), n), by(chars - rest("[A-Z]+"), chars), by(chars - rest("[0-9]+"), chars),
-        by(F.size(F.filter(F.sequence(F.lit(0), F.greatest(n - 2, F.lit(0))), lambda i: F.get(w, i) == F.get(w, i + 1))), n),
-        by(F.size(lines) - F.size(F.array_distinct(lines)), F.size(lines)), by(chars - rest(r"[A-Za-z\x{C0}-\x{24F}]+"), chars),
-    )
-    return out.withColumn("_stats", F.struct(*[v.cast("double").alias(k) for k, v in zip(STATS, values)])).drop("_w", "_l", "_n")
+    chars = F.char_length(text)
+
+    def of_words(w: Column, lines: Column) -> Column:
+        n = F.size(w)
+        echoes = F.size(F.filter(F.sequence(F.lit(0), F.greatest(n - 2, F.lit(0))), lambda i: F.get(w, i) == F.get(w, i + 1)))
+        values = (
+            F.log1p(n), by(rest(f"[{SPACE}]+"), n), by(chars - rest(r"[#*$%&|<>]+"), n), by(F.regexp_count(text, F.lit("!!")), n),
+            by(F.regexp_count(text, F.lit(r" \| ")), n), by(F.size(F.array_distinct(w)), n), by(chars - rest("[A-Z]+"), chars), by(chars - rest("[0-9]+"), chars),
+            by(echoes, n), by(F.size(lines) - F.size(F.array_distinct(lines)), F.size(lines)), by(chars - rest(r"[A-Za-z\x{C0}-\x{24F}]+"), chars),
+        )
+        return F.struct(*[v.cast("double").alias(k) for k, v in zip(STATS, values)])
+
+    words = F.filter(F.split(text, f"[{SPACE}]+", -1), lambda w: w != "")
+    lines = F.filter(F.split(text, "\n", -1), lambda x: x != "")
+    return let(F.struct(words.alias("w"), lines.alias("l")), lambda t: of_words(t["w"], t["l"]))
 
 
 @dataclass(frozen=True)
@@ -56,10 +58,10 @@ class Rule:
             out &= (x[:, f] <= t) == low
         return out
 
-    def column(self) -> Column:
+    def column(self, stats: Column) -> Column:
         out = F.lit(True)
         for f, low, t in self.tests:
-            c = F.col("_stats")[STATS[f]]
+            c = stats[STATS[f]]
             out = out & (c <= F.lit(t) if low else c > F.lit(t))
         return out
 
@@ -75,10 +77,10 @@ class Ensemble:
             z += w * r.holds(x)
         return 1 / (1 + np.exp(-z))
 
-    def column(self) -> Column:
+    def column(self, stats: Column) -> Column:
         z = F.lit(self.intercept)
         for r, w in self.rules:
-            z = z + F.when(r.column(), F.lit(w)).otherwise(F.lit(0.0))
+            z = z + F.when(r.column(stats), F.lit(w)).otherwise(F.lit(0.0))
         return 1 / (1 + F.exp(-z))
 
 
@@ -166,15 +168,15 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_rows
         .limit(max_rows)
     )
     # at most max_rows ids and labels, so their broadcast is bounded
-    rows = statistics(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(some), "_id"))
-    got = rows.select("_y", "_stats.*").limit(2 * max_rows).toPandas()
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(some), "_id")
+    got = rows.select("_y", stats_of(text_of()).alias("s")).select("_y", "s.*").limit(2 * max_rows).toPandas()
     got = got.sort_values([*STATS, "_y"], kind="stable")
     return fit_rules(got[list(STATS)].to_numpy(np.float64), got["_y"].to_numpy(np.float64))
 
 
 def classify(docs: DataFrame, model: Ensemble, text_col: str = "text") -> DataFrame:
     """docs with `_score`."""
-    return statistics(docs, text_col).withColumn("_score", model.column()).drop("_stats")
+    return docs.withColumn("_score", let(stats_of(text_of(text_col)), model.column))
 
 
 def query(docs: DataFrame, labels: DataFrame) -> DataFrame:
