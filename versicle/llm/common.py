@@ -32,9 +32,15 @@ def fingerprint(*cols: Column) -> list[Column]:
     return [F.xxhash64(*cols), F.xxhash64(F.lit("second"), *cols)]
 
 
-def cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """A reliable checkpoint in the folder that spark.checkpoint.dir names; a folder of our own only where it is unset."""
-    sc = df.sparkSession.sparkContext
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder that spark.checkpoint.dir names; a folder of our own only where it is unset, as in tests."""
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame, eager: bool = True) -> DataFrame:
+    """A reliable checkpoint in checkpoint_dir()."""
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager)

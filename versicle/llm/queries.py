@@ -1,6 +1,6 @@
 """The registered query and, where SQL can express it, the SQL of each operator."""
 
-from . import decontamination, line_dedup, packing, pii_surrogates, piece_codec, quality_rules, rule_ensemble, secret_scan, shingle_join
+from . import decontamination, line_dedup, packing, pii_surrogates, piece_codec, quality_rules, rule_ensemble, secret_scan, shingle_join, suffix_dedup
 from .common import table
 
 
@@ -22,6 +22,7 @@ def queries() -> dict:
         "op4_pii_surrogates": _documents(pii_surrogates.query),
         "op5_decontamination": lambda spark, sf_dir: decontamination.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
         "op6_shingle_join": _documents(shingle_join.query),
+        "op7_suffix_dedup": _documents(suffix_dedup.query),
         "op8_rule_ensemble": lambda spark, sf_dir: rule_ensemble.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
         "op9_line_dedup": _documents(line_dedup.query),
         "op10_piece_codec": _documents(lambda docs: piece_codec.digest(docs, model_bytes())),
