@@ -129,7 +129,7 @@ def gap_interpolate(spark, sf_dir):
 
 def durations_rollup(spark, sf_dir):
     e = _events(spark, sf_dir).withColumn("book_id", F.col("user_id") % 10)
-    return timeline.durations(e, ["book_id"], "user_id")
+    return timeline.durations(e, ["book_id"], "user_id").withColumn("user_id", F.coalesce("user_id", F.lit(-1)).cast("long"))
 
 
 def last_clip_end(spark, sf_dir):
@@ -145,7 +145,8 @@ def clocks(spark, sf_dir):
 def positional_map(spark, sf_dir):
     chapters = _t(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("book_id"), F.col("n_nationkey").alias("chapter_pos"))
     units = _t(spark, sf_dir, "supplier").filter("s_suppkey <= 40").select((F.col("s_suppkey") % 5).cast("int").alias("book_id"), F.col("s_suppkey").alias("unit_pos"))
-    return mapping.positional(chapters, units, ["book_id"], "chapter_pos", "unit_pos")
+    pairs = mapping.positional(chapters, units, ["book_id"], "chapter_pos", "unit_pos")
+    return pairs.select(F.col("book_id").cast("long").alias("book_id"), "rank", *[F.coalesce(c, F.lit(-1)).cast("long").alias(c) for c in ("chapter_pos", "unit_pos")])
 
 
 def _book_titles(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
@@ -234,7 +235,7 @@ def id_collisions(spark, sf_dir):
 
 def element_ids(spark, sf_dir):
     e = F.concat(F.element_at(F.array(F.lit("mo_s_"), F.lit("mo_s_00"), F.lit("x_s_"), F.lit("mo_s_-")), (F.col("p_partkey") % 4 + 1).cast("int")), F.col("p_partkey").cast("string"))
-    return _t(spark, sf_dir, "part").select("p_partkey", e.alias("element_id"), text.is_element_id(e).alias("valid"), text.element_number(e).alias("number"))
+    return _t(spark, sf_dir, "part").select("p_partkey", e.alias("element_id"), text.is_element_id(e).alias("valid"), F.coalesce(text.element_number(e), F.lit(-1)).alias("number"))
 
 
 def probe_json(spark, sf_dir):
@@ -337,8 +338,20 @@ NAMES = [
 ]
 
 
+#: Counted columns are longs in results, as they are in SQL.
+LONGS = {"pos", "char_start", "char_end", "seg_pos", "first_pos", "block_rank", "chapter_index", "unit_index", "rank"}
+
+
+def _with_longs(query):
+    def run(spark, sf_dir):
+        df = query(spark, sf_dir)
+        return df.withColumns({c: F.col(c).cast("long") for c, kind in df.dtypes if c in LONGS and kind == "int"})
+
+    return run
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in NAMES}
+    return {f.__name__: _with_longs(f) for f in NAMES}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -108,7 +108,7 @@ SELECT user_id, pos, CAST(round_even((CASE WHEN timed THEN s ELSE coalesce(lag(u
   SELECT user_id % 10 AS book_id, user_id, max(end_ms) AS duration_ms, count(*) AS par_count FROM tl GROUP BY ALL
 ), r AS (
   SELECT book_id, user_id, duration_ms, par_count FROM c
-  UNION ALL SELECT book_id, NULL, CAST(sum(duration_ms) AS BIGINT), CAST(sum(par_count) AS BIGINT) FROM c GROUP BY book_id)
+  UNION ALL SELECT book_id, CAST(-1 AS BIGINT), CAST(sum(duration_ms) AS BIGINT), CAST(sum(par_count) AS BIGINT) FROM c GROUP BY book_id)
 SELECT *, {_HMS("duration_ms")} AS clock FROM r""",
     "last_clip_end": f"WITH {_EVENTS} SELECT user_id, arg_max(end_ms, pos) AS duration_ms FROM tl GROUP BY user_id",
     "clocks": f"""WITH {_EVENTS}
@@ -116,7 +116,7 @@ SELECT event_id, printf('%d.%03ds', start_ms // 1000, start_ms % 1000) AS smil,
     "positional_map": """
 WITH c AS (SELECT n_regionkey AS book_id, n_nationkey AS chapter_pos, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS rank FROM nation),
 u AS (SELECT s_suppkey % 5 AS book_id, s_suppkey AS unit_pos, row_number() OVER (PARTITION BY s_suppkey % 5 ORDER BY s_suppkey) AS rank FROM supplier WHERE s_suppkey <= 40)
-SELECT coalesce(c.book_id, u.book_id) AS book_id, coalesce(c.rank, u.rank) AS rank, chapter_pos, unit_pos FROM c FULL JOIN u ON c.book_id = u.book_id AND c.rank = u.rank""",
+SELECT CAST(coalesce(c.book_id, u.book_id) AS BIGINT) AS book_id, coalesce(c.rank, u.rank) AS rank, CAST(coalesce(chapter_pos, -1) AS BIGINT) AS chapter_pos, CAST(coalesce(unit_pos, -1) AS BIGINT) AS unit_pos FROM c FULL JOIN u ON c.book_id = u.book_id AND c.rank = u.rank""",
     "manual_map": """
 WITH c AS (SELECT n_regionkey AS book_id, n_nationkey AS p, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS i,
   count(*) OVER (PARTITION BY n_regionkey) AS n FROM nation)
@@ -135,7 +135,7 @@ WITH d AS (SELECT event_id % 4 AS book_id, CASE WHEN event_id % 3 = 0 THEN print
 SELECT DISTINCT * FROM d WHERE element_id LIKE 'mo\\_s\\_%' ESCAPE '\\' OR (book_id, element_id) IN (SELECT (o_orderkey % 4, 'x' || o_orderkey) FROM orders)""",
     "element_ids": """
 WITH e AS (SELECT p_partkey, ['mo_s_', 'mo_s_00', 'x_s_', 'mo_s_-'][p_partkey % 4 + 1] || p_partkey AS element_id FROM part)
-SELECT *, regexp_full_match(element_id, 'mo_s_[0-9]{4,}') AS valid, CASE WHEN regexp_full_match(element_id, 'mo_s_[0-9]{4,}') THEN CAST(substr(element_id, 6) AS BIGINT) END AS number FROM e""",
+SELECT *, regexp_full_match(element_id, 'mo_s_[0-9]{4,}') AS valid, CASE WHEN regexp_full_match(element_id, 'mo_s_[0-9]{4,}') THEN CAST(substr(element_id, 6) AS BIGINT) ELSE -1 END AS number FROM e""",
     "probe_json": """
 WITH k AS (SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE json_extract(props, '$.k') IS NOT NULL)
 SELECT event_id, 0 AS chap_pos, 'Chapter 1' AS title, 0.0::DOUBLE AS start_s, k + 0.25::DOUBLE AS end_s FROM k WHERE event_id % 3 = 0
