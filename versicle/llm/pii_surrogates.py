@@ -28,7 +28,7 @@ KINDS = [
     ("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
     ("card", r"(?<![0-9])[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,4}(?![0-9])"),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
-    ("name", rf"(?<![\p{{L}}])(?:{TITLES})\.? {_WORD}(?: {_WORD})?"),
+    ("name", rf"(?<![\p{{L}}])(?:{TITLES})\.? {_WORD}(?: (?!(?:{TITLES})\b){_WORD})?"),
 ]
 PATTERN = "|".join(f"(?:{p})" for _, p in KINDS)
 TILED = rf"(?s)(.*?)(?:({PATTERN})|\z)"
