@@ -1,6 +1,8 @@
 """Shared pieces: table reading, row identity, ASCII case, bindings inside expressions, checkpoints."""
 
+import gc
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,3 +46,19 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     """A reliable checkpoint in checkpoint_dir()."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df as a compressed table in checkpoint_dir(). Unlike a checkpoint it also forgets what the optimizer has inferred
+    of its columns, which grows with every step of a loop."""
+    path = f"{checkpoint_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets the context cleaner remove shuffle and checkpoint files of tables that are no longer referred to. Without
+    it they stay until the driver happens to collect its garbage, which a job of few, large stages may never do."""
+    for _ in range(2):  # what Python lets go first is let go by the JVM next
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()

@@ -19,10 +19,11 @@ tables give empty results; further columns are not read.
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, release, stored
 
 ORDERS = 3
 #: 2^22 counters of 4 bytes: the sketch has 16 MB whatever the corpus, in blocks of 4096.
@@ -62,8 +63,8 @@ def _word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return h, np.searchsorted(starts, at)
 
 
-def shingle_sets(texts: list[str | None], size: int):
-    """Yields the sorted distinct shingle hashes of each text."""
+def shingle_sets(texts: list[str | bytes | None], size: int):
+    """Yields the sorted distinct shingle hashes of each text; bytes are UTF-8."""
     mult = _mix(np.arange(1, size + 1, dtype=np.uint64)) | _U(1)
     block: list[bytes] = []
 
@@ -83,7 +84,7 @@ def shingle_sets(texts: list[str | None], size: int):
 
     held = 0
     for t in texts:
-        block.append((t or "").encode())
+        block.append(t if isinstance(t, bytes) else (t or "").encode())
         held += len(block[-1])
         if held >= _BLOCK_BYTES:
             yield from flush()
@@ -106,13 +107,14 @@ def sketch(docs: DataFrame, size: int) -> np.ndarray:
                 np.add.at(counts, _slots(s), 1)
         small = np.minimum(counts, np.iinfo(np.int32).max).astype("<i4").reshape(-1, SKETCH_BLOCK)
         some = np.flatnonzero(small.any(1))
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([small[i].tobytes() for i in some], pa.binary())], names=["block", "counts"])
+        squeeze = zstandard.ZstdCompressor(level=1).compress  # most counts of one task are below 4
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([squeeze(small[i].tobytes()) for i in some], pa.binary())], names=["block", "counts"])
 
     def add(batches):
         total: dict[int, np.ndarray] = {}
         for b in batches:
             for k, c in zip(b.column("block").to_pylist(), b.column("counts").to_pylist()):
-                total[k] = total.get(k, 0) + np.frombuffer(c, "<i4").astype(np.int64)
+                total[k] = total.get(k, 0) + np.frombuffer(zstandard.ZstdDecompressor().decompress(c), "<i4").astype(np.int64)
         # only the magnitude matters for the order
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([_magnitude(v).tobytes() for v in total.values()], pa.binary())], names=["block", "counts"])
 
@@ -175,12 +177,21 @@ def _verified(docs: DataFrame, pairs: DataFrame, keys: DataFrame, size: int, per
     of_b = pairs.groupBy(F.col("b").alias("v")).agg(F.collect_list("a").alias("partners"))
     of_a = pairs.select(F.col("a").alias("v")).distinct().withColumn("is_a", F.lit(True))
     needed = of_b.join(of_a, "v", "full").join(keys, "v").withColumnRenamed("doc_id", "rep").hint("merge")
-    texts = docs.select("doc_id", "text").join(needed, F.col("doc_id").eqNullSafe(F.col("rep"))).select("v", "text", "partners", F.coalesce("is_a", F.lit(False)).alias("is_a"))
+
+    def squeeze(batches):
+        c = zstandard.ZstdCompressor(level=1)
+        for b in batches:
+            packed = pa.array([c.compress((t or "").encode()) for t in b.column("text").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), packed], names=["doc_id", "z"])
+
+    packed = docs.select("doc_id", "text").mapInArrow(squeeze, "doc_id long, z binary")
+    texts = packed.join(needed, F.col("doc_id").eqNullSafe(F.col("rep"))).select("v", "z", "partners", F.coalesce("is_a", F.lit(False)).alias("is_a"))
 
     def run(batches):
+        expand = zstandard.ZstdDecompressor().decompress
         for b in batches:
             key, other, out = [], [], []
-            for s, v, partners, is_a in zip(shingle_sets(b.column("text").to_pylist(), size), b.column("v").to_pylist(), b.column("partners").to_pylist(), b.column("is_a").to_pylist()):
+            for s, v, partners, is_a in zip(shingle_sets([expand(z) for z in b.column("z").to_pylist()], size), b.column("v").to_pylist(), b.column("partners").to_pylist(), b.column("is_a").to_pylist()):
                 if class_of(s) != v:  # another row that bears the same doc_id
                     continue
                 for p in partners or []:
@@ -219,33 +230,40 @@ def contract(labels: DataFrame, links: DataFrame) -> DataFrame:
     """labels (v, c) with the components c that links (a, b) join made one, each named by its least c.
 
     Every component points to its least neighbour, chains of pointers are halved, links are carried over to what they
-    point to, until none is left between different components. All tables stay distributed and are cut each round.
+    point to, until none is left between different components. All tables stay distributed and are stored each round.
     """
     of = lambda side: labels.select(F.col("v").alias(side), F.col("c").alias(f"c{side}"))
-    edges = cut(links.join(of("a"), "a").join(of("b"), "b").select(F.col("ca").alias("x"), F.col("cb").alias("y")).filter("x <> y").distinct())
+    edges = stored(links.join(of("a"), "a").join(of("b"), "b").select(F.col("ca").alias("x"), F.col("cb").alias("y")).filter("x <> y").distinct())
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y")))
         up = both.groupBy("x").agg(F.min("y").alias("y")).select("x", F.least("x", "y").alias("r"))
-        up = cut(up)
+        up = stored(up)
         for _ in range(2):
             up = up.join(up.select(F.col("x").alias("r"), F.col("r").alias("rr")), "r", "left").select("x", F.coalesce("rr", "r").alias("r"))
-        up = cut(up)
-        labels = cut(labels.join(up.withColumnRenamed("x", "c"), "c", "left").select("v", F.coalesce("r", "c").alias("c")))
+        up = stored(up)
+        labels = stored(labels.join(up.withColumnRenamed("x", "c"), "c", "left").select("v", F.coalesce("r", "c").alias("c")))
         to = lambda side: up.select(F.col("x").alias(side), F.col("r").alias(f"r{side}"))
-        edges = cut(edges.join(to("x"), "x").join(to("y"), "y").select(F.col("rx").alias("x"), F.col("ry").alias("y")).filter("x <> y").distinct())
+        edges = stored(edges.join(to("x"), "x").join(to("y"), "y").select(F.col("rx").alias("x"), F.col("ry").alias("y")).filter("x <> y").distinct())
     return labels
 
 
 def join(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id, v) for each row of docs (doc_id, text); v is the class of equal sets."""
-    rows = cut(prefixes(docs, sketch(docs, size), size, percent))
-    further = [f"q{o}" for o in range(1, ORDERS)]
-    classes = rows.filter("n > 0").groupBy("v").agg(F.first("n").alias("n"), F.min("doc_id").alias("doc_id"), F.first("p").alias("p"), *[F.first(q).alias(q) for q in further])
+    spark, further = docs.sparkSession, [f"q{o}" for o in range(1, ORDERS)]
+    wide = cut(prefixes(docs, sketch(docs, size), size, percent))
+    rows = cut(wide.select("doc_id", "n", "v"))
+    classes = wide.filter("n > 0").groupBy("v").agg(F.first("n").alias("n"), F.min("doc_id").alias("doc_id"), F.first("p").alias("p"), *[F.first(q).alias(q) for q in further])
     classes = cut(classes)
+    del wide
+    release(spark)
     met = classes.select("v", "n", F.explode("p").alias("t")).withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("t"))).filter("m > 1").drop("m")
-    met = cut(met)
+    met = stored(met)
+    labels = stored(met.select("v").distinct().withColumn("c", F.col("v")))
+    ids = stored(classes.select("v", "doc_id"))
+    # only classes that meet another are needed from here on
+    classes = stored(classes.drop("p").hint("merge").join(labels.select("v").hint("merge"), "v", "left_semi"))
     keys = classes.select("v", "doc_id")
-    labels = cut(met.select("v").distinct().withColumn("c", F.col("v")))
+    release(spark)
     fits = lambda a, b: (100 * F.least(a, b) >= percent * F.greatest(a, b))
 
     def candidates(pairs: DataFrame) -> DataFrame:
@@ -260,7 +278,7 @@ def join(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
     for turn in range(PIVOT_ROUNDS + 1):
         at = met.join(labels, "v")
         bucket = at.groupBy("t", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("t").agg(F.sum("k").alias("m"), F.sum(F.col("k") * F.col("k")).alias("within"))
-        mixed = cut(bucket.filter("m * m > within"))
+        mixed = stored(bucket.filter("m * m > within"))
         left = mixed.agg(F.sum(F.expr("(m * m - within) / 2")), F.sum("m")).first()
         if not left[0]:
             break
@@ -273,11 +291,15 @@ def join(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
             who = F.struct(F.col("v").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
             pivot = at.groupBy("t").agg(F.min_by(who, F.xxhash64(F.lit(turn), "v")).alias("p")).select("t", "p.*")
             pairs = at.withColumnRenamed("v", "b").join(pivot, "t").filter((F.col("c") != F.col("ca")) & fits(F.col("n"), F.col("na")))
-        found = cut(candidates(pairs.select("a", "b")))
-        labels = contract(labels, cut(_verified(docs, found, keys, size, percent)))
+        found = stored(candidates(pairs.select("a", "b")))
+        release(spark)  # also of what the last round verified
+        links = stored(_verified(docs, found, keys, size, percent))
+        del at, bucket, mixed, pairs, found
+        release(spark)
+        labels = contract(labels, links)
         if last:
             break
-    least = classes.select("v", "doc_id").join(labels, "v", "left").select("v", "doc_id", F.coalesce("c", "v").alias("c"))
+    least = ids.join(labels, "v", "left").select("v", "doc_id", F.coalesce("c", "v").alias("c"))
     name = least.groupBy("c").agg(F.min("doc_id").alias("component_id"))
     named = least.join(name, "c").select(F.col("v").alias("v2"), "component_id")
     # copies of one class may be very many: the join's exchange by v is split by AQE
