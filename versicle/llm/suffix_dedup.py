@@ -20,7 +20,6 @@ name one text. An empty table gives an empty result; further columns are not rea
 """
 
 import hashlib
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint_dir
+from .common import release, stored
 from .shingle_join import _TABLE, _U, _mix, _powers
 
 WIDTH, GRAM = 100, 32
@@ -38,13 +37,6 @@ _BASE = 0xD1B54A32D192ED03
 _CHUNK = 1 << 19
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df as a compressed table in the shared checkpoint folder."""
-    path = f"{checkpoint_dir(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def _slide_min(x: np.ndarray, width: int) -> np.ndarray:
     """Least of x[i : i + width] for every full window."""
     n = len(x) - width + 1
@@ -193,6 +185,22 @@ def repeated_windows(segments: list[bytes], doc: np.ndarray, first: np.ndarray,
     return sid[gone], off[gone]
 
 
+def may_share(keys: list[int], segments: list[bytes], off: list[int], width: int = WIDTH, gram: int = GRAM) -> np.ndarray:
+    """Segments that can share a window with another of the same anchor. A shared window reaches at least half of what
+    it has besides the anchor to the left or to the right of it, so one of these halves must be shared."""
+    half = (width - gram) // 2
+    ends = {}
+    sides = []
+    for k, s, p in zip(keys, segments, off):
+        left = (k, 0, s[p - half : p]) if p >= half else None
+        right = (k, 1, s[p + gram : p + gram + half]) if len(s) >= p + gram + half else None
+        sides.append((left, right))
+        for e in (left, right):
+            if e:
+                ends[e] = ends.get(e, 0) + 1
+    return np.array([any(e and ends[e] > 1 for e in both) for both in sides], bool)
+
+
 def _bytes_of(docs: DataFrame, wanted: DataFrame, name: str) -> DataFrame:
     """(doc_id, z, name): compressed texts with what wanted (doc, name) has for them."""
 
@@ -220,6 +228,7 @@ def repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, most: int = M
     several = classes.groupBy("h").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
     wanted = classes.hint("merge").join(several.hint("merge"), "h")
     by_doc = wanted.groupBy("doc").agg(F.collect_list(F.struct("h", "s", "place", "k")).alias("w"))
+    release(docs.sparkSession)
     packed, by_doc = _bytes_of(docs, by_doc, "w")
     joined = packed.join(by_doc, F.col("doc_id") == F.col("_doc")).select("doc_id", "z", "w")
 
@@ -230,17 +239,20 @@ def repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, most: int = M
                 text = _unpack(z)
                 for w in ws:
                     a, n = w["place"] >> 16, w["place"] >> 8 & 255
-                    out.append((w["h"], w["s"], doc, a, w["k"], text[a : a + n + width - 1]))
+                    out.append((w["h"], w["s"], doc, a, w["k"], w["place"] & 255, text[a : a + n + width - 1]))
                 if len(out) >= 8192:
                     yield _segments(out)
                     out = []
             yield _segments(out)
 
-    segments = stored(joined.mapInArrow(cut_out, "h long, s long, doc long, a long, k long, seg binary"))
+    segments = stored(joined.mapInArrow(cut_out, "h long, s long, doc long, a long, k long, p long, seg binary"))
+    release(docs.sparkSession)
     collections = (segments.filter(F.col("k") <= most).count() // COLLECTION) + 1
 
     def sort(batch: pa.Table) -> pa.Table:
         segs = batch.column("seg").to_pylist()
+        keep = np.flatnonzero(may_share(batch.column("h").to_pylist(), segs, batch.column("p").to_pylist(), width, gram))
+        batch, segs = batch.take(keep), [segs[i] for i in keep]
         x, off = repeated_windows(segs, batch.column("doc").to_numpy(), batch.column("a").to_numpy(), width)
         h, s = batch.column("h").to_numpy(), batch.column("s").to_numpy()
         return pa.table({"h": h[x], "s": s[x], "off": off.astype(np.int32)})
@@ -273,9 +285,9 @@ def repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, most: int = M
 
 
 def _segments(rows: list[tuple]) -> pa.RecordBatch:
-    names = ["h", "s", "doc", "a", "k", "seg"]
-    cols = list(zip(*rows)) or [()] * 6
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols[:5]] + [pa.array(cols[5], pa.binary())], names=names)
+    names = ["h", "s", "doc", "a", "k", "p", "seg"]
+    cols = list(zip(*rows)) or [()] * 7
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols[:6]] + [pa.array(cols[6], pa.binary())], names=names)
 
 
 def covered(spans: list[int], width: int = WIDTH) -> np.ndarray:
