@@ -9,7 +9,7 @@ from conftest import DATA, needs_data
 from pyspark.sql import functions as F
 
 pytest.importorskip("versicle.llm")
-from versicle.llm import packing, piece_codec, queries, rule_ensemble, shingle_join, suffix_dedup  # noqa: E402
+from versicle.llm import packing, piece_codec, queries, rule_ensemble, shingle_join, stages, suffix_dedup  # noqa: E402
 
 SCHEMA = "doc_id long, text string, source string, v long, s string"
 EDGE = [(None, "a null id"), (1, None), (2, ""), (3, " \t\n"), (4, "x" * 30_000), (5, "same words here again"), (5, "same words here again"), (6, "\n" * 300), (7, "ÄÖ é " * 60)]
@@ -151,6 +151,13 @@ def test_components_edges(spark):
     assert shingle_join.query(docs(spark, [])).count() == 0
 
 
+def test_near_duplicate_stage_takes_five_words(spark):
+    rows = near_copies(random.Random(3), 150)
+    want = {c for _, _, c in components(rows, 5, 80)}
+    got = [r["doc_id"] for r in stages.near_duplicates(spark, docs(spark, rows), DATA).collect()]
+    assert sorted(got) == sorted(want) and want < {c for _, _, c in components(rows)}
+
+
 def test_prefixes_meet():
     for n in range(1, 300):
         for m in range(n, 300):
