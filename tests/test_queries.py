@@ -33,3 +33,10 @@ def test_entry(spark):
 
 def test_names():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_positional_map_has_every_unit(spark, tmp_path):
+    spark.createDataFrame([(0, 0), (1, 1)], "n_nationkey int, n_regionkey int").write.parquet(f"{tmp_path}/nation.parquet")
+    spark.range(1, 101).withColumnRenamed("id", "s_suppkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    got = entry.queries()["positional_map"](spark, str(tmp_path)).collect()
+    assert sorted(r["unit_pos"] for r in got) == list(range(1, 101))

@@ -144,7 +144,7 @@ def clocks(spark, sf_dir):
 
 def positional_map(spark, sf_dir):
     chapters = _t(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("book_id"), F.col("n_nationkey").alias("chapter_pos"))
-    units = _t(spark, sf_dir, "supplier").filter("s_suppkey <= 40").select((F.col("s_suppkey") % 5).cast("int").alias("book_id"), F.col("s_suppkey").alias("unit_pos"))
+    units = _t(spark, sf_dir, "supplier").select((F.col("s_suppkey") % 5).cast("int").alias("book_id"), F.col("s_suppkey").alias("unit_pos"))
     pairs = mapping.positional(chapters, units, ["book_id"], "chapter_pos", "unit_pos")
     return pairs.select(F.col("book_id").cast("long").alias("book_id"), "rank", *[F.coalesce(c, F.lit(-1)).cast("long").alias(c) for c in ("chapter_pos", "unit_pos")])
 
