@@ -139,6 +139,13 @@ def test_surrogates_stay_distinct(spark):
     assert pii_surrogates.query(docs(spark, [])).count() == 0
 
 
+def test_surrogates_of_names_never_run_out(spark, monkeypatch):
+    monkeypatch.setattr(pii_surrogates, "NAMES", {k: v[:2] for k, v in pii_surrogates.NAMES.items()})  # 2 + 4 + 8 + 16 forms of up to four parts
+    rows = [(i, f"Mr {a}{b}") for i, (a, b) in enumerate((a, b) for a in "ABCDEFG" for b in "uvwxyz")]
+    known = pii_surrogates.surrogates(pii_surrogates.entities(docs(spark, rows)), "k").collect()
+    assert len({r["surrogate"] for r in known}) == len(known) == len(rows) == 42
+
+
 def contaminated(rows, items, width=10):
     words = lambda t: [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")) if w]
     windows = {}

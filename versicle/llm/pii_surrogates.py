@@ -11,6 +11,8 @@ that repeat get the same text. When entities draw the same surrogate, the least
 gives an empty result; further columns are carried by `replace_entities` unless they bear the names it adds.
 """
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +44,7 @@ NAMES = {
     ("cyrillic", "f"): "Анна Мария Елена Ольга Татьяна Ирина Наталья Светлана Вера Нина".split(),
     ("cyrillic", "s"): "Иваненко Петренко Шевчук Ткачук Мороз Савчук Бондарь Гончар Коваль Зимин".split(),
 }
+#: After so many attempts it is asked whether layouts of fixed length have room at all.
 ATTEMPTS = 24
 
 
@@ -85,6 +88,21 @@ def _layout(s: Column, noise: Column) -> Column:
     return F.array_join(F.transform(F.filter(F.split(s, ""), lambda c: c != ""), one), "")
 
 
+def _kept() -> Column:
+    """How many first characters of the canonical form a surrogate keeps."""
+    kind, canon = F.col("kind"), F.col("canon")
+    return F.when(kind == "phone", F.greatest(F.length(canon) - 10, F.lit(0))).when(kind == "card", 1).when(kind == "iban", 2).otherwise(0)
+
+
+def _full(every: DataFrame) -> bool:
+    """Whether some layout of fixed length has fewer forms than its entities and as many surrogates need."""
+    rest = F.substring(F.col("canon"), _kept() + 1, F.length("canon"))
+    layout = F.regexp_replace(F.regexp_replace(rest, "[0-9]", "0"), "[A-Z]", "A")
+    groups = every.filter(F.col("kind").isin("phone", "ssn", "card", "iban")).groupBy("kind", F.substring(F.col("canon"), F.lit(1), _kept()).alias("kept"), layout.alias("layout")).agg(F.count(F.lit(1)).alias("n"))
+    forms = F.pow(F.lit(10.0), F.length(F.regexp_replace("layout", "A", ""))) * F.pow(F.lit(26.0), F.length(F.regexp_replace("layout", "0", "")))
+    return not groups.filter(2 * F.col("n") > forms).isEmpty()
+
+
 def _surrogate(key: str, attempt: int) -> Column:
     kind, canon = F.col("kind"), F.col("canon")
 
@@ -93,12 +111,13 @@ def _surrogate(key: str, attempt: int) -> Column:
         tail = F.lit("") if not attempt else F.substring(noise, 50, 4 + attempt)
         at, dot = F.instr(canon, "@"), F.regexp_extract(canon, r"(\.[^.]+)$", 1)
         local, domain = F.substring(canon, F.lit(1), at - 1), F.substring(canon, at + 1, F.length(canon) - at - F.length(dot))
-        keep = F.when(kind == "phone", F.greatest(F.length(canon) - 10, F.lit(0))).when(kind == "card", 1).when(kind == "iban", 2).otherwise(0)
+        keep = _kept()
         bits = F.split(canon, r"\|")
         gender = F.when(F.get(bits, F.lit(0)) != "u", F.get(bits, F.lit(0))).otherwise(F.when(byte(5) % 2 == 0, "m").otherwise("f"))
         draw = lambda script, part, b: F.element_at(F.array(*map(F.lit, NAMES[script, part])), b % len(NAMES[script, part]) + 1)
         by_script = lambda f: F.when(F.get(bits, F.lit(1)) == "cyrillic", f("cyrillic")).otherwise(f("latin"))
-        surname = by_script(lambda s: F.concat_ws("-", draw(s, "s", byte(0)), *([draw(s, "s", byte(1))] if attempt else []), *([draw(s, "s", byte(2))] if attempt > 2 else []), *([draw(s, "s", byte(3))] if attempt > 5 else [])))
+        parts = 2 + attempt // 3 if attempt else 1  # grows without bound, so names never run out; bytes 4 and 5 are the given name's
+        surname = by_script(lambda s: F.concat_ws("-", *[draw(s, "s", byte(i if i < 4 else 6 + (i - 4) % 26)) for i in range(parts)]))
         given = by_script(lambda s: F.when(gender == "m", draw(s, "m", byte(4))).otherwise(draw(s, "f", byte(4))))
         name = F.when(F.get(bits, F.lit(2)).contains(" "), F.concat_ws(" ", given, surname)).otherwise(surname)
         return (
@@ -116,7 +135,7 @@ def surrogates(found: DataFrame, key: str) -> DataFrame:
     every = cut(found.select("kind", "canon").distinct())
     taken = every.select("kind", F.when(F.col("kind") == "name", F.initcap(F.element_at(F.split("canon", r"\|"), -1))).otherwise(F.col("canon")).alias("surrogate"))
     left, settled = every, None
-    for attempt in range(ATTEMPTS):
+    for attempt in count():
         drawn = left.withColumn("surrogate", _surrogate(key, attempt))
         first = drawn.groupBy("kind", "surrogate").agg(F.min("canon").alias("canon")).join(taken, ["kind", "surrogate"], "left_anti")
         first = cut(first.select("kind", "canon", "surrogate"))
@@ -125,7 +144,8 @@ def surrogates(found: DataFrame, key: str) -> DataFrame:
         left = cut(left.join(first, ["kind", "canon"], "left_anti"))
         if left.isEmpty():
             return settled
-    raise RuntimeError("more entities of one kind and layout than surrogates")
+        if attempt == ATTEMPTS and _full(every):
+            raise RuntimeError("more entities of one kind and layout than surrogates")
 
 
 def _rendered(kind: Column, mention: Column, surrogate: Column) -> Column:
