@@ -139,6 +139,11 @@ def test_surrogates_stay_distinct(spark):
     assert pii_surrogates.query(docs(spark, [])).count() == 0
 
 
+def test_surrogates_of_an_account_alone(spark):
+    got = {r["doc_id"]: r["text"] for r in pii_surrogates.query(docs(spark, [(1, "BR15AB12CD34EF56GH78"), (2, "BR15AB12CD34EF56GH78 a@b.io")])).collect()}
+    assert got[1] != "BR15AB12CD34EF56GH78" and got[2].split()[0] == got[1]
+
+
 def test_surrogates_of_names_never_run_out(spark, monkeypatch):
     monkeypatch.setattr(pii_surrogates, "NAMES", {k: v[:2] for k, v in pii_surrogates.NAMES.items()})  # 2 + 4 + 8 + 16 forms of up to four parts
     rows = [(i, f"Mr {a}{b}") for i, (a, b) in enumerate((a, b) for a in "ABCDEFG" for b in "uvwxyz")]

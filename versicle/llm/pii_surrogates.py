@@ -35,7 +35,7 @@ KINDS = [
 PATTERN = "|".join(f"(?:{p})" for _, p in KINDS)
 TILED = rf"(?s)(.*?)(?:({PATTERN})|\z)"
 #: A text without any of these holds no entity.
-MAYBE = rf"@|[0-9][0-9.() -]{{5}}|(?:{TITLES})\.? [\p{{Lu}}]"
+MAYBE = rf"@|[0-9][0-9.() -]{{5}}|[A-Z]{{2}}[0-9]{{2}} ?[A-Z0-9]{{4}}|(?:{TITLES})\.? [\p{{Lu}}]"
 NAMES = {
     ("latin", "m"): "James John Robert Michael David William Thomas Daniel Paul Peter Simon Martin Oliver Victor Henry Samuel Julian Adrian Felix Leon".split(),
     ("latin", "f"): "Mary Anna Laura Sarah Emma Julia Clara Helen Alice Nora Eva Marta Sofia Irene Lucia Paula Diana Rosa Vera Ines".split(),
