@@ -1,6 +1,5 @@
 """Shared pieces: table reading, row identity, ASCII case, bindings inside expressions, checkpoints."""
 
-import gc
 import tempfile
 import uuid
 
@@ -35,10 +34,14 @@ def fingerprint(*cols: Column) -> list[Column]:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that spark.checkpoint.dir names; a folder of our own only where it is unset, as in tests."""
+    """The shared folder that spark.checkpoint.dir names; a folder of our own only where it is unset and all runs in
+    one process, as in tests."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint"))
+        shared = sc.getConf().get("spark.checkpoint.dir")
+        if not shared and not sc.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoint"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -53,12 +56,13 @@ def stored(df: DataFrame) -> DataFrame:
     of its columns, which grows with every step of a loop."""
     path = f"{checkpoint_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
 
 
-def release(spark: SparkSession) -> None:
-    """Lets the context cleaner remove shuffle and checkpoint files of tables that are no longer referred to. Without
-    it they stay until the driver happens to collect its garbage, which a job of few, large stages may never do."""
-    for _ in range(2):  # what Python lets go first is let go by the JVM next
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
+def dropped(*tables: DataFrame) -> None:
+    """Removes the files of tables that stored() has made and nothing reads any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)

@@ -1,37 +1,50 @@
 """N-gram Jaccard join with several global token orders, and its connected components.
 
-Documents become sets of hashed word shingles; equal sets are one class. A sketch of document frequencies puts rare
-shingles first, and several hash orders break its ties, each giving every class a prefix that any partner at the
-threshold must meet. Classes that meet in the first order's prefixes, fit in size, and meet in all further orders too
-are candidates; only these are verified on their whole sets.
+Documents become sets of hashed word shingles; equal sets are one class, known by 128 bits. A sketch of document
+frequencies puts rare shingles first, and several hash orders break its ties, each giving every class a prefix that any
+partner at the threshold must meet. Classes that meet in the first order's prefix are in one bucket. Pairs that are to
+be verified must have fitting sizes, fit by the places at which they meet, and meet in all further orders too.
 
-Large buckets are not expanded into pairs. In each round the members of a bucket are compared with one pivot, links are
-contracted to components, and buckets within one component are done. When few pairs between different components are
-left, these are all compared, so no link between components is missed.
+Large buckets are not expanded into pairs. Each bucket has a pivot p, the member that meets most. For any p the sets x
+and y differ as much as their differences to p do: x ^ y = (x ^ p) ^ (y ^ p). What a group of near copies has in common
+cancels in these differences, so the prefixes of the differences, taken in the order of how rare their tokens are within
+the group, meet only where two members share changes. So members are dealt anew to the buckets (p, token of the
+difference's prefix). Members that are similar to p are in one component already, so only pairs with at least one
+member that is not similar to p have to meet, which bounds how much two differences must share and so their prefixes.
+Members with less than half of their union in common with p stay in their bucket, which has lost p.
 
-Hashes are 64 bits: two given different sets or shingles fall together with a chance of 2^-64.
+Turns are taken until the pairs of different components are no more than a few for each membership, or no longer shrink;
+these pairs are filtered and verified directly. No link is lost on either way.
+
+Shingles have 64 bits: a collision counts as one equal shingle of two sets that are otherwise compared in full. Sets of
+one shingle are named by 128 bits of their words.
 
 Defined cases. Null or empty text, or one without words: an empty set, linked with nothing, its component is its own
 doc_id. Fewer than `size` words: the sequence is one shingle. Null doc_id: takes part, is never a component's id unless
-all its ids are null. Rows that repeat are one class. A document's own ties do not matter, as sets are compared. Empty
-tables give empty results; further columns are not read.
+all its ids are null. Rows that repeat are one class. A document's own ties do not matter, as sets are compared. Very
+long texts and words are read whole. Empty tables give empty results; further columns are not read.
 """
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, release, stored
+from .common import dropped, fingerprint, stored, text_of
 
 ORDERS = 3
-#: 2^22 counters of 4 bytes: the sketch has 16 MB whatever the corpus, in blocks of 4096.
+#: 2^22 counters: 4 MB whatever the corpus, in blocks of 4096.
 SKETCH_BITS, SKETCH_BLOCK = 22, 4096
-PIVOT_ROUNDS = 6
+#: Pairs for each membership of a bucket up to which all pairs are taken at once.
+FEW = 2
 _U = np.uint64
-_TABLE = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
-_BASE, _BLOCK_BYTES = 0x9E3779B97F4A7C15 | 1, 1 << 22
+_BLOCK_BYTES = 1 << 22
+#: Words of more bytes are hashed one by one.
+_LONG_WORD = 64
+_SPACE = np.zeros(256, bool)
+_SPACE[[32, *range(9, 14)]] = True
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -40,27 +53,27 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def _powers(n: int, base: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
-
-
 def _word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of the lower-cased texts, and where each text's begin and end."""
-    data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
-    space = (data == 32) | ((data >= 9) & (data <= 13))
-    upper = (data >= 65) & (data <= 90)
-    data = data + (upper * np.uint8(32)).astype(np.uint8)
-    edge = np.diff(np.r_[True, space].astype(np.int8))
+    """Hashes of all words of the lower-cased texts, and where each text's begin and end.
+
+    Words are read eight bytes at a time, each mixed with the hash of what is before it."""
+    joined = b"\n".join(texts).lower() + b"\n" + bytes(8)  # bytes.lower() changes A-Z only
+    data = np.frombuffer(joined, np.uint8)[:-8]
+    eight = np.ndarray(len(data), "<u8", joined, strides=(1,))
+    edge = np.diff(np.r_[True, _SPACE[data]].astype(np.int8))
     starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    # prefix sums of byte * base^place; dividing by base^start makes a word's sum independent of its place
-    n = len(data)
-    sums = np.r_[_U(0), np.cumsum(_TABLE[data] * _powers(n, _BASE), dtype=np.uint64)]
-    inverse = _powers(n, pow(_BASE, -1, 1 << 64))
-    h = _mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
-    at = np.cumsum([0, *(len(t) + 1 for t in texts)])
-    return h, np.searchsorted(starts, at)
+    size = ends - starts
+    h = _mix(size.astype(np.uint64))
+    left = np.flatnonzero(size <= _LONG_WORD)
+    at = 0
+    while len(left):
+        rest = size[left] - at
+        lane = eight[starts[left] + at] & (_U(0xFFFFFFFFFFFFFFFF) >> ((8 - np.minimum(rest, 8)) * 8).astype(np.uint64))
+        h[left] = _mix((h[left] ^ lane) * _U(0x9E3779B97F4A7C15) + lane)
+        left, at = left[rest > 8], at + 8
+    for i in np.flatnonzero(size > _LONG_WORD):
+        h[i] = xxhash.xxh3_64_intdigest(joined[starts[i] : ends[i]])
+    return h, np.searchsorted(starts, np.cumsum([0, *(len(t) + 1 for t in texts)]))
 
 
 def shingle_sets(texts: list[str | bytes | None], size: int):
@@ -93,6 +106,16 @@ def shingle_sets(texts: list[str | bytes | None], size: int):
         yield from flush()
 
 
+def class_of(s: np.ndarray, text: str | bytes | None, size: int) -> tuple[int, int]:
+    """128 bits that name a set, as two signed numbers."""
+    if len(s) == 1:
+        words = (text if isinstance(text, bytes) else text.encode()).lower().split()[:size]
+        name = xxhash.xxh3_128_digest(b" ".join(words))
+    else:
+        name = xxhash.xxh3_128_digest(s.tobytes())
+    return tuple(np.frombuffer(name, np.int64).tolist())
+
+
 def _slots(s: np.ndarray) -> np.ndarray:
     return (s >> _U(64 - SKETCH_BITS)).astype(np.int64)
 
@@ -135,27 +158,37 @@ def prefix_size(n: int, percent: int) -> int:
     return n - -(-n * percent // 100) + 1
 
 
-def prefixes(docs: DataFrame, counts: np.ndarray, size: int, percent: int) -> DataFrame:
-    """(doc_id, v, n, p, more): class, set size, the first order's prefix, and those of the further orders cut to 32 bits."""
-    shared = docs.sparkSession.sparkContext.broadcast(counts)  # 4 MB, see SKETCH_BITS
+def least_size(percent: int) -> int:
+    """Smaller sets are similar to equal ones only: n of n + 1 elements must reach percent."""
+    return -(-percent // (100 - percent)) if percent < 100 else 1 << 62
+
+
+def _first(s: np.ndarray, magnitude: np.ndarray, k: int, order: int) -> np.ndarray:
+    """The first k elements of s, by magnitude and then by the hash of that order."""
+    rank = (magnitude.astype(np.uint64) << _U(56)) | (_mix(s + _U(order)) >> _U(8))
+    some = np.argpartition(rank, k - 1)[:k] if k < len(s) else np.arange(len(s))
+    return s[some[np.argsort(rank[some])]]
+
+
+def classes(docs: DataFrame, counts, size: int, percent: int) -> DataFrame:
+    """(doc_id, g1, g2, v, w, n, p): row key, class, set size and the first order's prefix, for docs (doc_id, g1, g2, text)."""
 
     def run(batches):
-        rarity = shared.value
+        rarity = counts.value
         for b in batches:
-            v, n, p, more = [], [], [], []
-            for s in shingle_sets(b.column("text").to_pylist(), size):
+            texts = b.column("text").to_pylist()
+            v, w, n, p = [], [], [], []
+            for t, s in zip(texts, shingle_sets(texts, size)):
+                one, two = class_of(s, t, size) if len(s) else (0, 0)
+                v.append(one)
+                w.append(two)
                 n.append(len(s))
-                v.append(class_of(s))
-                k = prefix_size(len(s), percent) if len(s) else 0
-                rank = rarity[_slots(s)].astype(np.uint64) << _U(56)
-                first = [s[np.argpartition(rank | (_mix(s + _U(o)) >> _U(8)), k - 1)[:k] if k < len(s) else slice(None)] for o in range(ORDERS)] if k else [s] * ORDERS
-                p.append(first[0].view(np.int64))
-                more.append([x.astype(np.uint32).view(np.int32) for x in first[1:]])
-            lists = [_lists([m[o] for m in more], np.int32) for o in range(ORDERS - 1)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(v, pa.int64()), pa.array(n, pa.int64()), _lists(p, np.int64), *lists], names=["doc_id", "v", "n", "p", *(f"q{o}" for o in range(1, ORDERS))])
+                p.append(_first(s, rarity[_slots(s)], prefix_size(len(s), percent), 0).view(np.int64) if len(s) >= least_size(percent) else s[:0].view(np.int64))
+            cols = [b.column("doc_id"), b.column("g1"), b.column("g2"), pa.array(v, pa.int64()), pa.array(w, pa.int64()), pa.array(n, pa.int32()), _lists(p, np.int64)]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "g1", "g2", "v", "w", "n", "p"])
 
-    more = ", ".join(f"q{o} array<int>" for o in range(1, ORDERS))
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id long, v long, n long, p array<long>, {more}")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.mapInArrow(run, f"doc_id {kind}, g1 long, g2 long, v long, w long, n int, p array<long>")
 
 
 def _lists(rows: list[np.ndarray], dtype) -> pa.Array:
@@ -163,148 +196,271 @@ def _lists(rows: list[np.ndarray], dtype) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([*rows, np.empty(0, dtype)])))
 
 
-def class_of(s: np.ndarray) -> int:
-    """A hash of the whole set."""
-    x = _mix(s ^ _U(0xA0761D6478BD642F)).sum(dtype=np.uint64) + _U(len(s))
-    return int(_mix(np.array([x], np.uint64)).view(np.int64)[0])
-
-
-def _verified(docs: DataFrame, pairs: DataFrame, keys: DataFrame, size: int, percent: int) -> DataFrame:
-    """Pairs (a, b) that are similar on their whole sets. keys: (v, doc_id) of one document of each class.
-
-    Texts are met with the pairs of b, and their sets go to the sets of a; no text or set is sent where it has no pair.
-    """
-    of_b = pairs.groupBy(F.col("b").alias("v")).agg(F.collect_list("a").alias("partners"))
-    of_a = pairs.select(F.col("a").alias("v")).distinct().withColumn("is_a", F.lit(True))
-    needed = of_b.join(of_a, "v", "full").join(keys, "v").withColumnRenamed("doc_id", "rep").hint("merge")
+def _texts_of(docs: DataFrame, wanted: DataFrame, counts, size: int, percent: int) -> DataFrame:
+    """(x, z, q1, ...): compressed text and the further orders' prefixes, cut to 32 bits, of wanted (x, g1, g2)."""
 
     def squeeze(batches):
         c = zstandard.ZstdCompressor(level=1)
         for b in batches:
             packed = pa.array([c.compress((t or "").encode()) for t in b.column("text").to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), packed], names=["doc_id", "z"])
-
-    packed = docs.select("doc_id", "text").mapInArrow(squeeze, "doc_id long, z binary")
-    texts = packed.join(needed, F.col("doc_id").eqNullSafe(F.col("rep"))).select("v", "z", "partners", F.coalesce("is_a", F.lit(False)).alias("is_a"))
+            yield pa.RecordBatch.from_arrays([b.column("g1"), b.column("g2"), packed], names=["g1", "g2", "z"])
 
     def run(batches):
-        expand = zstandard.ZstdDecompressor().decompress
+        rarity, expand = counts.value, zstandard.ZstdDecompressor().decompress
         for b in batches:
-            key, other, out = [], [], []
-            for s, v, partners, is_a in zip(shingle_sets([expand(z) for z in b.column("z").to_pylist()], size), b.column("v").to_pylist(), b.column("partners").to_pylist(), b.column("is_a").to_pylist()):
-                if class_of(s) != v:  # another row that bears the same doc_id
-                    continue
-                for p in partners or []:
-                    key.append(p)
-                    other.append(v)
-                    out.append(s.tobytes())
-                if is_a:
-                    key.append(v)
-                    other.append(None)
-                    out.append(s.tobytes())
-                if sum(map(len, out[-256:])) > 1 << 22 or len(out) >= 4096:
-                    yield batch(key, other, out)
-                    key, other, out = [], [], []
-            yield batch(key, other, out)
-
-    def batch(key, other, out):
-        return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(other, pa.int64()), pa.array(out, pa.binary())], names=["a", "b", "s"])
-
-    sets = texts.mapInArrow(run, "a long, b long, s binary")
-    left = sets.filter(F.col("b").isNull()).select("a", F.col("s").alias("sa")).hint("merge")
-    met = sets.filter(F.col("b").isNotNull()).hint("merge").join(left, "a")
-
-    def compare(batches):
+            for part in _slices(b, "z"):
+                rows = [[] for _ in further]
+                for s in shingle_sets([expand(z) for z in part.column("z").to_pylist()], size):
+                    magnitude, k = rarity[_slots(s)], prefix_size(len(s), percent)
+                    for o, q in enumerate(rows, 1):
+                        q.append(_first(s, magnitude, k, o).astype(np.uint32).view(np.int32))
+                yield pa.RecordBatch.from_arrays([part.column("x"), part.column("z"), *(_lists(q, np.int32) for q in rows)], names=["x", "z", *further])
+
+    further = [f"q{o}" for o in range(1, ORDERS)]
+    packed = docs.select("g1", "g2", "text").mapInArrow(squeeze, "g1 long, g2 long, z binary")
+    met = packed.hint("merge").join(wanted.hint("merge"), ["g1", "g2"]).dropDuplicates(["g1", "g2"]).select("x", "z")
+    return met.mapInArrow(run, ", ".join(["x long, z binary", *(f"{q} array<int>" for q in further)]))
+
+
+def _slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20):
+    """Parts of a batch with about `most` bytes of a binary column."""
+    ends = np.frombuffer(batch.column(column).buffers()[1], np.int32)[batch.column(column).offset :][: len(batch) + 1]
+    at = 0
+    while at < len(batch):
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + most, "right")) - 1)
+        yield batch.slice(at, to - at)
+        at = to
+
+
+def _met(pairs: DataFrame, texts: DataFrame, size: int):
+    """pairs (x, p, ...) with the texts of both, for mapInArrow, and a function that yields (part of a batch, sets of x, sets of p)."""
+    left = pairs.hint("merge").join(texts.select("x", "z").hint("merge"), "x")
+    both = left.hint("merge").join(texts.select(F.col("x").alias("p"), F.col("z").alias("zp")).hint("merge"), "p")
+
+    def sets(batches):
+        expand = zstandard.ZstdDecompressor().decompress
         for b in batches:
+            for part in _slices(b, "z"):
+                ps, zp = part.column("p").to_pylist(), part.column("zp")
+                first = {p: i for i, p in enumerate(ps)}
+                of_p = dict(zip(first, shingle_sets([expand(zp[i].as_py()) for i in first.values()], size)))
+                yield part, shingle_sets([expand(z) for z in part.column("z").to_pylist()], size), [of_p[p] for p in ps]
+
+    return both, sets
+
+
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    both = np.concatenate([x, y])
+    both.sort()
+    return int(np.count_nonzero(both[1:] == both[:-1]))
+
+
+def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (x, p) that are similar on their whole sets."""
+    both, sets = _met(pairs, texts, size)
+
+    def run(batches):
+        for part, xs, ps in sets(batches):
             ok = []
-            for x, y in zip(b.column("sa"), b.column("s")):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
+            for x, p in zip(xs, ps):
+                i = _common(x, p)
+                ok.append(100 * i >= percent * (len(x) + len(p) - i))
+            yield pa.RecordBatch.from_arrays([part.column("x"), part.column("p"), pa.array(ok, pa.bool_())], names=["x", "p", "ok"])
+
+    return both.select("x", "p", "z", "zp").mapInArrow(run, "x long, p long, ok boolean").filter("ok").select("x", "p")
+
 
-    return met.select("a", "b", "sa", "s").mapInArrow(compare, "a long, b long, ok boolean").filter("ok").select("a", "b").distinct()
+def difference_prefix(d: np.ndarray, p: np.ndarray, k: int, group: int, magnitude: np.ndarray) -> np.ndarray:
+    """The first k elements of d = x ^ p, by how many of the group's differences have them, about: elements of p are in
+    the differences of those who lack them, others in those of who has them."""
+    count = 2.0 ** (magnitude / 2)
+    inside = np.isin(d, p, assume_unique=True)
+    count = np.where(inside, np.maximum(group / 8 + 2, group + 1 - count), np.minimum(count, max(2, group)))
+    return _first(d, _magnitude(count.astype(np.int64)), k, 0)
+
+
+def _against_pivots(pairs: DataFrame, texts: DataFrame, counts, size: int, percent: int) -> DataFrame:
+    """pairs (x, p, g, ...) with common, the shared shingles, and tokens, the prefix of the difference; g is the group's size."""
+    both, sets = _met(pairs, texts, size)
+    kept = [f for f in pairs.columns if f not in ("x", "p", "g")]
+
+    def run(batches):
+        rarity = counts.value
+        for part, xs, ps in sets(batches):
+            common, tokens = [], []
+            for x, p, g in zip(xs, ps, part.column("g").to_pylist()):
+                i = _common(x, p)
+                s, union = len(x) + len(p), len(x) + len(p) - i
+                k = 0
+                if 2 * i >= union:
+                    a = s - 2 * i
+                    if 100 * i >= percent * union:  # what x must share with the difference of any y that is not similar to p
+                        need = a * percent // (100 + percent) + 1
+                    else:
+                        need = max(1, -(-(a * (100 + percent) - s * (100 - percent)) // 200))
+                    k = a - need + 1
+                common.append(i)
+                if k > 0:
+                    d = np.setxor1d(x, p, assume_unique=True)
+                    tokens.append(difference_prefix(d, p, k, g, rarity[_slots(d)]).view(np.int64))
+                else:
+                    tokens.append(np.empty(0, np.int64))
+            cols = [part.column("x"), part.column("p"), *(part.column(c) for c in kept), pa.array(common, pa.int32()), _lists(tokens, np.int64)]
+            yield pa.RecordBatch.from_arrays(cols, names=["x", "p", *kept, "common", "tokens"])
+
+    types = ", ".join(f"{f} {pairs.schema[f].dataType.simpleString()}" for f in kept)
+    return both.select("x", "p", "g", "z", "zp", *kept).mapInArrow(run, f"x long, p long, {types}, common int, tokens array<long>")
+
+
+def _union(batches):
+    """Edges (x, y) as stars around the least node, as far as one task knows."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (y := root.setdefault(x, x)) != x:
+            root[x] = x = root[y]
+        return x
+
+    def out():
+        pairs = [(x, find(x)) for x in root]
+        pairs = [(x, r) for x, r in pairs if x != r]
+        return pa.RecordBatch.from_arrays([pa.array([q[i] for q in pairs], pa.int64()) for i in (0, 1)], names=["x", "y"])
+
+    for b in batches:
+        for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist()):
+            x, y = find(x), find(y)
+            root[max(x, y)] = min(x, y)
+        if len(root) >= 1 << 20:  # bounded memory: what follows starts anew
+            yield out()
+            root.clear()
+    yield out()
 
 
 def contract(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """labels (v, c) with the components c that links (a, b) join made one, each named by its least c.
+    """labels (x, c) with the components c that links (x, p) join made one, each named by its least c.
 
     Every component points to its least neighbour, chains of pointers are halved, links are carried over to what they
     point to, until none is left between different components. All tables stay distributed and are stored each round.
     """
-    of = lambda side: labels.select(F.col("v").alias(side), F.col("c").alias(f"c{side}"))
-    edges = stored(links.join(of("a"), "a").join(of("b"), "b").select(F.col("ca").alias("x"), F.col("cb").alias("y")).filter("x <> y").distinct())
+    of = lambda side: labels.select(F.col("x").alias(side), F.col("c").alias(f"c{side}"))
+    edges = links.join(of("x"), "x").join(of("p"), "p").select(F.col("cx").alias("x"), F.col("cp").alias("y")).filter("x <> y")
+    edges = stored(edges.mapInArrow(_union, "x long, y long"))
+    spent = []
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y")))
-        up = both.groupBy("x").agg(F.min("y").alias("y")).select("x", F.least("x", "y").alias("r"))
-        up = stored(up)
-        for _ in range(2):
-            up = up.join(up.select(F.col("x").alias("r"), F.col("r").alias("rr")), "r", "left").select("x", F.coalesce("rr", "r").alias("r"))
-        up = stored(up)
-        labels = stored(labels.join(up.withColumnRenamed("x", "c"), "c", "left").select("v", F.coalesce("r", "c").alias("c")))
+        up = stored(both.groupBy("x").agg(F.min("y").alias("y")).select("x", F.least("x", "y").alias("r")))
+        spent += [edges, up]
+        up = stored(up.join(up.select(F.col("x").alias("r"), F.col("r").alias("rr")), "r", "left").select("x", F.coalesce("rr", "r").alias("r")))
+        after = stored(labels.join(up.withColumnRenamed("x", "c"), "c", "left").select("x", F.coalesce("r", "c").alias("c")))
+        spent += [labels, up]
+        labels = after
         to = lambda side: up.select(F.col("x").alias(side), F.col("r").alias(f"r{side}"))
-        edges = stored(edges.join(to("x"), "x").join(to("y"), "y").select(F.col("rx").alias("x"), F.col("ry").alias("y")).filter("x <> y").distinct())
+        edges = edges.join(to("x"), "x").join(to("y"), "y").select(F.col("rx").alias("x"), F.col("ry").alias("y")).filter("x <> y")
+        edges = stored(edges.mapInArrow(_union, "x long, y long"))
+    dropped(*spent, edges)
     return labels
 
 
+def _fits(percent: int) -> Column:
+    """Whether a pair of memberships may be similar: sizes of the differences, and what can still be shared after the
+    places (from 0) at which both have the bucket's token, against what must be."""
+    most = F.expr(f"(n + cast(n2 as bigint)) * {100 - percent} div {100 + percent}")
+    shared = 2 * F.least(F.col("a") - F.col("at"), F.col("a2") - F.col("at2"))
+    return (F.abs(F.col("a") - F.col("a2")) <= most) & (shared >= F.col("a") + F.col("a2") - most)
+
+
 def join(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
-    """(doc_id, n_shingles, component_id, v) for each row of docs (doc_id, text); v is the class of equal sets."""
+    """(doc_id, n_shingles, component_id, g1, g2, v, w, c) for each row of docs (doc_id, text): g1 and g2 are the fingerprint
+    of id and text, v and w name the class; c names the component, null for classes that meet no other."""
     spark, further = docs.sparkSession, [f"q{o}" for o in range(1, ORDERS)]
-    wide = cut(prefixes(docs, sketch(docs, size), size, percent))
-    rows = cut(wide.select("doc_id", "n", "v"))
-    classes = wide.filter("n > 0").groupBy("v").agg(F.first("n").alias("n"), F.min("doc_id").alias("doc_id"), F.first("p").alias("p"), *[F.first(q).alias(q) for q in further])
-    classes = cut(classes)
-    del wide
-    release(spark)
-    met = classes.select("v", "n", F.explode("p").alias("t")).withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("t"))).filter("m > 1").drop("m")
-    met = stored(met)
-    labels = stored(met.select("v").distinct().withColumn("c", F.col("v")))
-    ids = stored(classes.select("v", "doc_id"))
-    # only classes that meet another are needed from here on
-    classes = stored(classes.drop("p").hint("merge").join(labels.select("v").hint("merge"), "v", "left_semi"))
-    keys = classes.select("v", "doc_id")
-    release(spark)
-    fits = lambda a, b: (100 * F.least(a, b) >= percent * F.greatest(a, b))
-
-    def candidates(pairs: DataFrame) -> DataFrame:
-        """Distinct pairs that meet in every further order too."""
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        for side in "ab":
-            pairs = pairs.join(classes.select(F.col("v").alias(side), *[F.col(q).alias(q + side) for q in further]), side)
-        for q in further:
-            pairs = pairs.filter(F.arrays_overlap(q + "a", q + "b"))
-        return pairs.select("a", "b")
-
-    for turn in range(PIVOT_ROUNDS + 1):
-        at = met.join(labels, "v")
-        bucket = at.groupBy("t", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("t").agg(F.sum("k").alias("m"), F.sum(F.col("k") * F.col("k")).alias("within"))
+    g1, g2 = row_key()
+    docs = docs.select("doc_id", g1.alias("g1"), g2.alias("g2"), "text")
+    counts = spark.sparkContext.broadcast(sketch(docs, size))  # 4 MB, see SKETCH_BITS
+    rows = stored(classes(docs, counts, size, percent))
+    tokens = rows.select("v", "w", "n", F.posexplode("p").alias("at", "b"))
+    # 64 bits of a class do to see that two classes meet; the counts are partial before the shuffle
+    hot = tokens.groupBy("b").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).filter("lo <> hi").select("b")
+    met = stored(tokens.hint("merge").join(hot.hint("merge"), "b"))
+    met_once = met.groupBy("b", "v", "w").agg(F.max("n").alias("n"), F.max("at").alias("at"))
+    known = met_once.groupBy("v", "w").agg(F.max("n").alias("n"), F.count(F.lit(1)).cast("int").alias("s"))
+    known = stored(known.withColumn("x", F.monotonically_increasing_id()))
+    state = stored(met_once.drop("n").join(known, ["v", "w"]).select("b", "x", "n", "s", F.col("n").alias("a"), "at"))
+    named = rows.filter("n > 0").groupBy("v", "w").agg(F.min("doc_id").alias("least"), F.min(F.struct("g1", "g2")).alias("g"))
+    wanted = named.join(known.select("v", "w", "x"), ["v", "w"]).select("x", "g.g1", "g.g2")
+    texts = stored(_texts_of(docs, wanted, counts, size, percent))
+    labels = stored(known.select("x", F.col("x").alias("c")))
+    spent, before, pivots = [met, state], None, False
+    while True:
+        at = state.join(labels, "x")
+        bucket = at.groupBy("b", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("b").agg(F.sum("k").alias("m"), F.sum(F.col("k") * F.col("k")).alias("within"))
         mixed = stored(bucket.filter("m * m > within"))
-        left = mixed.agg(F.sum(F.expr("(m * m - within) / 2")), F.sum("m")).first()
-        if not left[0]:
+        spent.append(mixed)
+        pairs, members = mixed.agg(F.sum(F.expr("(m * m - within) / 2")), F.sum("m")).first()
+        if not pairs:
             break
-        last = turn == PIVOT_ROUNDS or left[0] <= 2 * left[1]
-        at = at.join(mixed.select("t"), "t", "left_semi")
-        if last:
-            o = at.select("t", F.col("v").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-            pairs = at.withColumnRenamed("v", "a").join(o, "t").filter((F.col("c") < F.col("cb")) & fits(F.col("n"), F.col("nb")))
-        else:
-            who = F.struct(F.col("v").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
-            pivot = at.groupBy("t").agg(F.min_by(who, F.xxhash64(F.lit(turn), "v")).alias("p")).select("t", "p.*")
-            pairs = at.withColumnRenamed("v", "b").join(pivot, "t").filter((F.col("c") != F.col("ca")) & fits(F.col("n"), F.col("na")))
-        found = stored(candidates(pairs.select("a", "b")))
-        release(spark)  # also of what the last round verified
-        links = stored(_verified(docs, found, keys, size, percent))
-        del at, bucket, mixed, pairs, found
-        release(spark)
-        labels = contract(labels, links)
-        if last:
+        at = stored(at.hint("merge").join(mixed.select("b").hint("merge"), "b"))
+        spent.append(at)
+        if pairs <= FEW * members or (before and pairs > before / 2):
+            two = at.select("b", *(F.col(c).alias(f"{c}2") for c in ("x", "n", "a", "at", "c")))
+            near = at.hint("merge").join(two.hint("merge"), "b").filter((F.col("c") < F.col("c2")) & _fits(percent))
+            near = near.select("x", F.col("x2").alias("p")).distinct()
+            links = stored(verified(_meeting(near, texts, further), texts, size, percent))
+            spent.append(links)
+            labels = contract(labels, links)
             break
-    least = ids.join(labels, "v", "left").select("v", "doc_id", F.coalesce("c", "v").alias("c"))
-    name = least.groupBy("c").agg(F.min("doc_id").alias("component_id"))
-    named = least.join(name, "c").select(F.col("v").alias("v2"), "component_id")
-    # copies of one class may be very many: the join's exchange by v is split by AQE
-    out = rows.select("doc_id", "n", "v").hint("merge").join(named.hint("merge"), (F.col("v") == F.col("v2")) & (F.col("n") > 0), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "v")
+        before = pairs
+        links, state = _turn(at, texts, counts, size, percent, further)
+        spent += [links, state]
+        labels = contract(labels, links)
+    dropped(*spent, texts)
+    classed = named.select("v", "w", "least").join(known.select("v", "w", "x").join(labels, "x").select("v", "w", "c"), ["v", "w"], "left")
+    least = classed.filter("c IS NOT NULL").groupBy("c").agg(F.min("least").alias("component"))
+    classed = classed.join(least, "c", "left").select(F.col("v").alias("v2"), F.col("w").alias("w2"), "c", F.when(F.col("c").isNull(), F.col("least")).otherwise(F.col("component")).alias("component"))
+    # copies of one class may be very many: the join's exchange is split by AQE
+    out = rows.drop("p").hint("merge").join(classed.hint("merge"), (F.col("v") == F.col("v2")) & (F.col("w") == F.col("w2")) & (F.col("n") > 0), "left")
+    component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"), "g1", "g2", "v", "w", "c")
+
+
+def _meeting(pairs: DataFrame, texts: DataFrame, further: list[str]) -> DataFrame:
+    """The pairs (x, p) whose prefixes meet in every further order."""
+    for side in "xp":
+        pairs = pairs.join(texts.select(F.col("x").alias(side), *(F.col(q).alias(q + side) for q in further)), side)
+    for q in further:
+        pairs = pairs.filter(F.arrays_overlap(q + "x", q + "p"))
+    return pairs.select("x", "p")
+
+
+def _turn(at: DataFrame, texts: DataFrame, counts, size: int, percent: int, further: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Links to the pivots of all buckets of at (b, x, n, s, a, at), and the memberships whose pairs are still to be met."""
+    pivot = at.groupBy("b").agg(F.max(F.struct("s", F.col("x").alias("p"), F.col("n").alias("np"))).alias("top")).select("b", "top.p", "top.np")
+    from_pivot = at.hint("merge").join(pivot.hint("merge"), "b").filter("x <> p")
+    where = F.collect_list(F.struct("b", "a", "at")).alias("where")  # at most as many as a prefix has
+    pairs = from_pivot.groupBy("x", "p").agg(F.max("n").alias("n"), F.max("np").alias("np"), F.max("s").alias("s"), where)
+    groups = pairs.groupBy("p").agg(F.count(F.lit(1)).alias("g"))
+    pairs = stored(pairs.hint("merge").join(groups.hint("merge"), "p"))
+    fits = lambda q: q * F.greatest("n", "np") <= 100 * F.least("n", "np")
+    alone = _meeting(pairs.filter((F.col("g") == 1) & fits(percent)).select("x", "p"), texts, further)
+    some = pairs.filter("g > 1")
+    found = stored(_against_pivots(some.filter(fits(50)), texts, counts, size, percent))
+    union = F.col("n") + F.col("np") - F.col("common")
+    links = found.filter(100 * F.col("common") >= percent * union).select("x", "p")
+    links = stored(links.unionByName(verified(alone, texts, size, percent)))
+    halves = found.filter(2 * F.col("common") >= union)
+    open_groups = halves.filter(100 * F.col("common") < percent * union).select("p").distinct()
+    fresh = halves.hint("merge").join(open_groups.hint("merge"), "p", "left_semi").select("x", "n", "s", "p", (union - F.col("common")).alias("a"), F.posexplode("tokens").alias("at", "token"))
+    fresh = fresh.select(F.xxhash64("p", "token").alias("b"), "x", "n", "s", "a", "at")
+    stays = found.filter(100 * F.col("common") < (150 - percent) * union).select("x", "n", "s", "where")
+    stays = stays.unionByName(some.filter(~fits(50)).select("x", "n", "s", "where"))
+    stays = stays.select("x", "n", "s", F.inline("where")).select("b", "x", "n", "s", "a", "at")
+    state = stored(fresh.unionByName(stays))
+    dropped(pairs, found)
+    return links, state
+
+
+def row_key(id_col: str = "doc_id", text_col: str = "text") -> list[Column]:
+    """Fingerprint of a row's id and text; a null text counts as empty."""
+    return fingerprint(F.col(id_col).cast("string"), text_of(text_col))
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontamination, line_dedup, piece_codec, rule_ensemble, shingle_join
-from .common import fingerprint, table, text_of
+from .common import table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,9 +29,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """The document with the least id of each group of near duplicates stays: five-word shingles, similar by 0.8 or more.
     The op6 query has four words and 0.85."""
     found = shingle_join.join(docs.select("doc_id", "text"), size=5, percent=80)
-    stays = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stay")).distinct()
-    kept = docs.join(stays.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_stay")), "left_semi")
-    return kept.withColumn("_h", fingerprint(text_of())[0]).dropDuplicates(["doc_id", "_h"]).select(docs.columns)
+    alone, empty = F.col("c").isNull(), F.col("n_shingles") == 0
+    group = ["c", *(F.when(alone, F.col(k)).alias(k) for k in "vw"), *(F.when(empty, F.col(g)).alias(f"e{g}") for g in ("g1", "g2"))]
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "g1", "g2")).alias("first")
+    stays = found.groupBy(*group).agg(first).select(F.col("first.g1").alias("g1"), F.col("first.g2").alias("g2"))
+    one, two = shingle_join.row_key()
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), one.alias("g1"), two.alias("g2"))
+    return keyed.hint("merge").join(stays.hint("merge"), ["g1", "g2"], "left_semi").dropDuplicates(["g1", "g2"]).select("row.*")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -27,16 +27,23 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, stored
-from .shingle_join import _TABLE, _U, _mix, _powers
+from .common import stored
+from .shingle_join import _U, _mix
 
 WIDTH, GRAM = 100, 32
 #: Classes of one anchor that are sorted in one collection; classes in a collection, about.
 MOST_CLASSES, COLLECTION = 1024, 8192
+_TABLE = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
 _BASE = 0xD1B54A32D192ED03
 _CHUNK = 1 << 19
 
 
+def _powers(n: int, base: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
 def _slide_min(x: np.ndarray, width: int) -> np.ndarray:
     """Least of x[i : i + width] for every full window."""
     n = len(x) - width + 1
@@ -228,7 +235,6 @@ def repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, most: int = M
     several = classes.groupBy("h").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
     wanted = classes.hint("merge").join(several.hint("merge"), "h")
     by_doc = wanted.groupBy("doc").agg(F.collect_list(F.struct("h", "s", "place", "k")).alias("w"))
-    release(docs.sparkSession)
     packed, by_doc = _bytes_of(docs, by_doc, "w")
     joined = packed.join(by_doc, F.col("doc_id") == F.col("_doc")).select("doc_id", "z", "w")
 
@@ -246,7 +252,6 @@ def repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, most: int = M
             yield _segments(out)
 
     segments = stored(joined.mapInArrow(cut_out, "h long, s long, doc long, a long, k long, p long, seg binary"))
-    release(docs.sparkSession)
     collections = (segments.filter(F.col("k") <= most).count() // COLLECTION) + 1
 
     def sort(batch: pa.Table) -> pa.Table:
