@@ -196,30 +196,17 @@ def _lists(rows: list[np.ndarray], dtype) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([*rows, np.empty(0, dtype)])))
 
 
-def _texts_of(docs: DataFrame, wanted: DataFrame, counts, size: int, percent: int) -> DataFrame:
-    """(x, z, q1, ...): compressed text and the further orders' prefixes, cut to 32 bits, of wanted (x, g1, g2)."""
+def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(x, z): compressed texts of wanted (x, g1, g2)."""
 
     def squeeze(batches):
-        c = zstandard.ZstdCompressor(level=1)
+        c = zstandard.ZstdCompressor(level=3)
         for b in batches:
             packed = pa.array([c.compress((t or "").encode()) for t in b.column("text").to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column("g1"), b.column("g2"), packed], names=["g1", "g2", "z"])
 
-    def run(batches):
-        rarity, expand = counts.value, zstandard.ZstdDecompressor().decompress
-        for b in batches:
-            for part in _slices(b, "z"):
-                rows = [[] for _ in further]
-                for s in shingle_sets([expand(z) for z in part.column("z").to_pylist()], size):
-                    magnitude, k = rarity[_slots(s)], prefix_size(len(s), percent)
-                    for o, q in enumerate(rows, 1):
-                        q.append(_first(s, magnitude, k, o).astype(np.uint32).view(np.int32))
-                yield pa.RecordBatch.from_arrays([part.column("x"), part.column("z"), *(_lists(q, np.int32) for q in rows)], names=["x", "z", *further])
-
-    further = [f"q{o}" for o in range(1, ORDERS)]
     packed = docs.select("g1", "g2", "text").mapInArrow(squeeze, "g1 long, g2 long, z binary")
-    met = packed.hint("merge").join(wanted.hint("merge"), ["g1", "g2"]).dropDuplicates(["g1", "g2"]).select("x", "z")
-    return met.mapInArrow(run, ", ".join(["x long, z binary", *(f"{q} array<int>" for q in further)]))
+    return packed.hint("merge").join(wanted.hint("merge"), ["g1", "g2"]).dropDuplicates(["g1", "g2"]).select("x", "z")
 
 
 def _slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20):
@@ -255,15 +242,22 @@ def _common(x: np.ndarray, y: np.ndarray) -> int:
     return int(np.count_nonzero(both[1:] == both[:-1]))
 
 
-def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (x, p) that are similar on their whole sets."""
+def _meet(x: np.ndarray, p: np.ndarray, rarity: np.ndarray, percent: int) -> bool:
+    """Whether the prefixes of two sets meet in every order after the first."""
+    mx, mp = rarity[_slots(x)], rarity[_slots(p)]
+    kx, kp = prefix_size(len(x), percent), prefix_size(len(p), percent)
+    return all(_common(_first(x, mx, kx, o), _first(p, mp, kp, o)) for o in range(1, ORDERS))
+
+
+def verified(pairs: DataFrame, texts: DataFrame, counts, size: int, percent: int) -> DataFrame:
+    """The pairs (x, p), which meet in the first order, that meet in all and are similar on their whole sets."""
     both, sets = _met(pairs, texts, size)
 
     def run(batches):
         for part, xs, ps in sets(batches):
             ok = []
             for x, p in zip(xs, ps):
-                i = _common(x, p)
+                i = _common(x, p) if _meet(x, p, counts.value, percent) else 0
                 ok.append(100 * i >= percent * (len(x) + len(p) - i))
             yield pa.RecordBatch.from_arrays([part.column("x"), part.column("p"), pa.array(ok, pa.bool_())], names=["x", "p", "ok"])
 
@@ -361,10 +355,15 @@ def contract(labels: DataFrame, links: DataFrame) -> DataFrame:
     return labels
 
 
+def _most(total: str, percent: int) -> Column:
+    """By how many elements two sets of so many in total may differ."""
+    return F.expr(f"({total}) * {100 - percent} div {100 + percent}")
+
+
 def _fits(percent: int) -> Column:
     """Whether a pair of memberships may be similar: sizes of the differences, and what can still be shared after the
     places (from 0) at which both have the bucket's token, against what must be."""
-    most = F.expr(f"(n + cast(n2 as bigint)) * {100 - percent} div {100 + percent}")
+    most = _most("n + cast(n2 as bigint)", percent)
     shared = 2 * F.least(F.col("a") - F.col("at"), F.col("a2") - F.col("at2"))
     return (F.abs(F.col("a") - F.col("a2")) <= most) & (shared >= F.col("a") + F.col("a2") - most)
 
@@ -372,24 +371,27 @@ def _fits(percent: int) -> Column:
 def join(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id, g1, g2, v, w, c) for each row of docs (doc_id, text): g1 and g2 are the fingerprint
     of id and text, v and w name the class; c names the component, null for classes that meet no other."""
-    spark, further = docs.sparkSession, [f"q{o}" for o in range(1, ORDERS)]
     g1, g2 = row_key()
     docs = docs.select("doc_id", g1.alias("g1"), g2.alias("g2"), "text")
-    counts = spark.sparkContext.broadcast(sketch(docs, size))  # 4 MB, see SKETCH_BITS
+    counts = docs.sparkSession.sparkContext.broadcast(sketch(docs, size))  # 4 MB, see SKETCH_BITS
     rows = stored(classes(docs, counts, size, percent))
-    tokens = rows.select("v", "w", "n", F.posexplode("p").alias("at", "b"))
-    # 64 bits of a class do to see that two classes meet; the counts are partial before the shuffle
+    # 64 bits of a class do here: classes that shared them would only be candidates too often
+    tokens = rows.select("v", "n", F.posexplode("p").alias("at", "b")).select("b", "v", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("at")).alias("place"))
     hot = tokens.groupBy("b").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).filter("lo <> hi").select("b")
     met = stored(tokens.hint("merge").join(hot.hint("merge"), "b"))
-    met_once = met.groupBy("b", "v", "w").agg(F.max("n").alias("n"), F.max("at").alias("at"))
-    known = met_once.groupBy("v", "w").agg(F.max("n").alias("n"), F.count(F.lit(1)).cast("int").alias("s"))
-    known = stored(known.withColumn("x", F.monotonically_increasing_id()))
-    state = stored(met_once.drop("n").join(known, ["v", "w"]).select("b", "x", "n", "s", F.col("n").alias("a"), "at"))
+    once = met.groupBy("b", "v").agg(F.max("place").alias("place")).withColumn("n", F.shiftright("place", 32).cast("int")).withColumn("at", F.col("place").bitwiseAND((1 << 32) - 1).cast("int"))
+    # most buckets hold two classes that share a phrase; what their sizes and places rule out needs no text
+    ends = once.groupBy("b").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("total"), (F.max("n") - F.min("n")).alias("apart"), F.min(F.col("n") - F.col("at")).alias("left"))
+    most = _most("total", percent)
+    able = ends.filter((F.col("m") > 2) | ((F.col("apart") <= most) & (2 * F.col("left") >= F.col("total") - most))).select("b")
+    once = stored(once.drop("place").hint("merge").join(able.hint("merge"), "b"))
     named = rows.filter("n > 0").groupBy("v", "w").agg(F.min("doc_id").alias("least"), F.min(F.struct("g1", "g2")).alias("g"))
-    wanted = named.join(known.select("v", "w", "x"), ["v", "w"]).select("x", "g.g1", "g.g2")
-    texts = stored(_texts_of(docs, wanted, counts, size, percent))
+    known = named.join(once.groupBy("v").agg(F.count(F.lit(1)).cast("int").alias("s")), "v").select("v", "w", "s", "g")
+    known = stored(known.withColumn("x", F.monotonically_increasing_id()))
+    state = stored(once.join(known.select("v", "x", "s"), "v").select("b", "x", "n", "s", F.col("n").alias("a"), "at"))
+    texts = stored(_texts_of(docs, known.select("x", "g.g1", "g.g2")))
     labels = stored(known.select("x", F.col("x").alias("c")))
-    spent, before, pivots = [met, state], None, False
+    spent, before = [met, once, state], None
     while True:
         at = state.join(labels, "x")
         bucket = at.groupBy("b", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("b").agg(F.sum("k").alias("m"), F.sum(F.col("k") * F.col("k")).alias("within"))
@@ -404,12 +406,12 @@ def join(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
             two = at.select("b", *(F.col(c).alias(f"{c}2") for c in ("x", "n", "a", "at", "c")))
             near = at.hint("merge").join(two.hint("merge"), "b").filter((F.col("c") < F.col("c2")) & _fits(percent))
             near = near.select("x", F.col("x2").alias("p")).distinct()
-            links = stored(verified(_meeting(near, texts, further), texts, size, percent))
+            links = stored(verified(near, texts, counts, size, percent))
             spent.append(links)
             labels = contract(labels, links)
             break
         before = pairs
-        links, state = _turn(at, texts, counts, size, percent, further)
+        links, state = _turn(at, texts, counts, size, percent)
         spent += [links, state]
         labels = contract(labels, links)
     dropped(*spent, texts)
@@ -422,16 +424,7 @@ def join(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"), "g1", "g2", "v", "w", "c")
 
 
-def _meeting(pairs: DataFrame, texts: DataFrame, further: list[str]) -> DataFrame:
-    """The pairs (x, p) whose prefixes meet in every further order."""
-    for side in "xp":
-        pairs = pairs.join(texts.select(F.col("x").alias(side), *(F.col(q).alias(q + side) for q in further)), side)
-    for q in further:
-        pairs = pairs.filter(F.arrays_overlap(q + "x", q + "p"))
-    return pairs.select("x", "p")
-
-
-def _turn(at: DataFrame, texts: DataFrame, counts, size: int, percent: int, further: list[str]) -> tuple[DataFrame, DataFrame]:
+def _turn(at: DataFrame, texts: DataFrame, counts, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Links to the pivots of all buckets of at (b, x, n, s, a, at), and the memberships whose pairs are still to be met."""
     pivot = at.groupBy("b").agg(F.max(F.struct("s", F.col("x").alias("p"), F.col("n").alias("np"))).alias("top")).select("b", "top.p", "top.np")
     from_pivot = at.hint("merge").join(pivot.hint("merge"), "b").filter("x <> p")
@@ -440,12 +433,12 @@ def _turn(at: DataFrame, texts: DataFrame, counts, size: int, percent: int, furt
     groups = pairs.groupBy("p").agg(F.count(F.lit(1)).alias("g"))
     pairs = stored(pairs.hint("merge").join(groups.hint("merge"), "p"))
     fits = lambda q: q * F.greatest("n", "np") <= 100 * F.least("n", "np")
-    alone = _meeting(pairs.filter((F.col("g") == 1) & fits(percent)).select("x", "p"), texts, further)
+    alone = pairs.filter((F.col("g") == 1) & fits(percent)).select("x", "p")
     some = pairs.filter("g > 1")
     found = stored(_against_pivots(some.filter(fits(50)), texts, counts, size, percent))
     union = F.col("n") + F.col("np") - F.col("common")
     links = found.filter(100 * F.col("common") >= percent * union).select("x", "p")
-    links = stored(links.unionByName(verified(alone, texts, size, percent)))
+    links = stored(links.unionByName(verified(alone, texts, counts, size, percent)))
     halves = found.filter(2 * F.col("common") >= union)
     open_groups = halves.filter(100 * F.col("common") < percent * union).select("p").distinct()
     fresh = halves.hint("merge").join(open_groups.hint("merge"), "p", "left_semi").select("x", "n", "s", "p", (union - F.col("common")).alias("a"), F.posexplode("tokens").alias("at", "token"))
