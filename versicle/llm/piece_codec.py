@@ -23,9 +23,9 @@ from pyspark.sql import types as T
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
 NO_PAIR = np.iinfo(np.int32).max
-#: Of the hash of a pair. Then: rounds after which what is left of the longest words goes to the queue; words kept in a worker's memory; code points encoded at a time.
+#: Of the hash of a pair. Then: rounds after which what is left of the longest words goes to the queue; words and their code points kept in a worker's memory; code points encoded at a time.
 MULTIPLIERS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
-ROUNDS, CACHED_WORDS, BLOCK_CHARS = 400, 400_000, 1 << 20
+ROUNDS, CACHED_WORDS, CACHED_CHARS, BLOCK_CHARS = 400, 250_000, 1 << 22, 1 << 20
 
 codecs.register_error("each_byte", lambda e: ("�" * (e.end - e.start), e.end))
 
@@ -115,7 +115,7 @@ class PieceCodec:
         self.spaced = np.array([p.type == NORMAL and p.piece.startswith(SPACE) for p in proto.pieces])
 
     def _forget(self) -> None:
-        self.index = _Index()
+        self.index, self.chars = _Index(), 0
         self.flat, self.at = np.empty(0, np.int32), np.zeros(1, np.int64)
 
     def _pairs(self) -> None:
@@ -287,13 +287,14 @@ class PieceCodec:
 
     def _known(self, words: list[str]) -> np.ndarray:
         """Rows of the words in flat; those not met before are merged first."""
-        if len(self.index) > CACHED_WORDS:
+        if len(self.index) > CACHED_WORDS or self.chars > CACHED_CHARS:
             self._forget()
         rows = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
         if self.index.new:
             flat, at = self.merge(self.index.new)
             self.flat = np.concatenate([self.flat, flat])
             self.at = np.concatenate([self.at, self.at[-1] + at[1:]])
+            self.chars += sum(map(len, self.index.new))
             self.index.new = []
         return rows
 
@@ -341,31 +342,64 @@ def _put(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*(batch.column(n) for n in rest), values], names=[*rest, name])
 
 
+def _parts(values, most: int = 1 << 20):
+    """Runs of successive values, as (place of the first, values), of about `most` elements in all."""
+    at, held, size = 0, [], 0
+    for v in values:
+        held.append(v)
+        size += len(v)
+        if size >= most:
+            yield at, held
+            at, held, size = at + len(held), [], 0
+    if held:
+        yield at, held
+
+
+def _lists(rows: list[np.ndarray]) -> pa.Array:
+    at = np.cumsum([0, *map(len, rows)])
+    return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(np.concatenate([*rows, np.empty(0, np.int32)])))
+
+
 def encode(docs: DataFrame, model: bytes, eos: bool = True, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """docs with the ids of text_col as array<int>."""
 
     def run(batches):
         c = codec(model)
         for b in batches:
-            ids = list(c.encode(b.column(text_col).to_pylist(), eos))
-            at = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-            yield _put(b, ids_col, pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([*ids, np.empty(0, np.int32)]))))
+            for at, ids in _parts(c.encode(b.column(text_col).to_pylist(), eos)):
+                yield _put(b.slice(at, len(ids)), ids_col, _lists(ids))
 
     return docs.mapInArrow(run, _with(docs.schema, ids_col, T.ArrayType(T.IntegerType())))
 
 
 def decode(docs: DataFrame, model: bytes, ids_col: str = "ids", text_col: str = "text") -> DataFrame:
-    """docs with the text of ids_col."""
+    """docs with the text of ids_col; null ids have the empty text."""
 
     def run(batches):
         c = codec(model)
         for b in batches:
-            yield _put(b, text_col, pa.array([c.decode(np.array(x or [], np.int64)) for x in b.column(ids_col).to_pylist()], pa.string()))
+            ids = b.column(ids_col)
+            each = (c.decode(x.values.to_numpy()) if (x := ids[i]).is_valid else "" for i in range(len(b)))
+            for at, texts in _parts(each):
+                yield _put(b.slice(at, len(texts)), text_col, pa.array(texts, pa.string()))
 
     return docs.mapInArrow(run, _with(docs.schema, text_col, T.StringType()))
 
 
-DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+def round_trip(docs: DataFrame, model: bytes) -> DataFrame:
+    """(doc_id, n_tokens, ids, text) of docs (doc_id, text): the ids with an end id and the text that they decode to.
+
+    One pass, so a task has one worker with one codec, and hands on its results every million ids."""
+
+    def run(batches):
+        c = codec(model)
+        for b in batches:
+            for at, ids in _parts(c.encode(b.column("text").to_pylist())):
+                cols = [b.column("doc_id").slice(at, len(ids)), pa.array([len(x) for x in ids], pa.int64()), _lists(ids), pa.array([c.decode(x) for x in ids], pa.string())]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_tokens", "ids", "text"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids array<int>, text string")
 
 
 def digest(docs: DataFrame, model: bytes) -> DataFrame:
@@ -381,6 +415,7 @@ def digest(docs: DataFrame, model: bytes) -> DataFrame:
                 n.append(len(ids))
                 enc.append(sha(" ".join(map(names.__getitem__, ids.tolist()))))
                 dec.append(sha(c.decode(ids)))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(enc, pa.string()), pa.array(dec, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(enc, pa.string()), pa.array(dec, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, DIGEST)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
