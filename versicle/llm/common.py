@@ -28,6 +28,16 @@ def ascii_lower(c: Column) -> Column:
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))
 
 
+def boxed(docs: DataFrame, **further: Column) -> DataFrame:
+    """docs as one column `row`, and further columns, whose names then cannot clash with those of docs."""
+    return docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"), *(c.alias(k) for k, c in further.items()))
+
+
+def unboxed(df: DataFrame, columns: list[str], **new: Column) -> DataFrame:
+    """The columns of `row` again, with those of new put in their place or added."""
+    return df.select(*(new.get(c, F.col("row").getField(c)).alias(c) for c in columns), *(v.alias(k) for k, v in new.items() if k not in columns))
+
+
 def fingerprint(*cols: Column) -> list[Column]:
     """Two 64-bit hashes under different seeds: equal pairs mean equal values for any corpus size we run on."""
     return [F.xxhash64(*cols), F.xxhash64(F.lit("second"), *cols)]

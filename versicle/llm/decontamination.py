@@ -17,7 +17,7 @@ columns are carried by `contamination` unless they bear the names it adds.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, let, text_of
+from .common import ascii_lower, boxed, let, text_of, unboxed
 
 WIDTH, BROADCAST_WORDS = 10, 500_000
 
@@ -77,8 +77,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, id_
     both = shifted.join(_small(per_item, small), F.col("item").eqNullSafe(F.col("item3")) & (F.col("ih") == F.col("ih3")))
     both = both.withColumn("windows", F.filter("windows", lambda w: F.array_contains("at", w["a"]) & F.array_contains("at", w["b"]))).filter(F.size("windows") > 0)
     by_doc = both.groupBy(F.col("doc").alias("_doc")).agg(F.collect_list(F.struct("item", "delta", "iw", F.transform("windows", lambda w: F.struct(w["start"].alias("start"), w["size"].alias("size"))).alias("windows"))).alias("_c"))
-    out = docs.drop("_n_words", "_n_hit", "_items").withColumn("_dw", words(text_of(text_col)))
-    out = out.join(by_doc, F.col(id_col).eqNullSafe(F.col("_doc")), "left")
+    out = boxed(docs, id=F.col(id_col), _dw=words(text_of(text_col)))
+    out = out.join(by_doc, F.col("id").eqNullSafe(F.col("_doc")), "left")
 
     def matched(c: Column) -> Column:
         same = lambda i: F.coalesce(F.get(F.col("_dw"), i + c["delta"]) == F.get(c["iw"], i), F.lit(False))
@@ -90,8 +90,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, id_
     start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("end"))
     total = F.aggregate(spans, start, lambda a, s: F.struct((a["n"] + F.greatest(F.lit(0), s["e"] - F.greatest(a["end"], s["s"]))).alias("n"), F.greatest(a["end"], s["e"]).alias("end")))["n"]
     ids = F.array_sort(F.array_distinct(F.filter(F.transform("_m", lambda m: m["item"].cast("string")), lambda x: x.isNotNull())))
-    out = out.withColumn("_n_words", F.size("_dw").cast("long")).withColumn("_n_hit", F.when(F.size("_m") > 0, total).otherwise(F.lit(0)).cast("long"))
-    return out.withColumn("_items", F.when(F.size("_m") > 0, ids).otherwise(F.array().cast("array<string>"))).drop("_doc", "_c", "_m", "_dw")
+    n_hit = F.when(F.size("_m") > 0, total).otherwise(F.lit(0)).cast("long")
+    items_of = F.when(F.size("_m") > 0, ids).otherwise(F.array().cast("array<string>"))
+    return unboxed(out, docs.columns, _n_words=F.size("_dw").cast("long"), _n_hit=n_hit, _items=items_of)
 
 
 def proximity(docs: DataFrame, benchmark: DataFrame, slop: int = 5, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

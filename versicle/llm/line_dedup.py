@@ -4,14 +4,15 @@ Lines are exploded with their normalised key, keys are hashed, documents are cou
 together again in line order without the lines over the threshold.
 
 Defined cases. Null or empty text: one empty line, kept. Null doc_id: the row counts for no line and stays whole. Rows
-that repeat a doc_id count as one document, and all of them lose its lines. Ties cannot arise: the largest doc_id that
-holds a key is unique. An empty table gives an empty result. Further columns are carried along by `dedup_lines`.
+that repeat a doc_id count as one document, and all of them lose the lines that it loses. Ties cannot arise: the largest doc_id that
+holds a key is unique. Very long texts: work is in proportion to their lines. An empty table gives an empty result.
+Further columns of any name are carried along by `dedup_lines`; those that bear the names it adds are replaced.
 """
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, fingerprint, text_of
+from .common import ascii_lower, boxed, fingerprint, text_of, unboxed
 
 TRIM = " \t\n\x0b\f\r"
 
@@ -25,47 +26,44 @@ def _hash(key: Column) -> Column:
     return F.struct(a.alias("a"), b.alias("b"))
 
 
-def repeated_keys(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(key, id_col): each document that holds a key of min_docs documents or more, but the largest.
+def repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(g1, g2, gone): the places, ascending, of the lines that a row loses; g1 and g2 are the row's fingerprint.
 
-    Only ids and 16-byte hashes are shuffled. A hot key is spread by its document ids until it has been counted by
-    partial aggregates; the join back to its documents is a sort-merge join that AQE splits.
+    Only ids, places and hashes are shuffled. A hot key is spread by its document ids until it has been counted by
+    partial aggregates; the join back to its lines is a sort-merge join that AQE splits.
     """
-    keys = F.filter(F.transform(F.split(text_of(text_col), "\n", -1), line_key), lambda k: F.char_length(k) >= min_chars)
-    held = (
-        docs.filter(F.col(id_col).isNotNull())
-        .select(F.col(id_col).alias("_id"), F.explode(F.array_distinct(F.transform(keys, _hash))).alias("key"))
-    )
-    hot = (
-        held.distinct()
-        .groupBy("key")
-        .agg(F.count(F.lit(1)).alias("n_docs"), F.max("_id").alias("keeper"))
-        .filter(F.col("n_docs") >= min_docs)
-    )
-    return held.hint("merge").join(hot.hint("merge"), "key").filter(F.col("_id") != F.col("keeper")).select("key", F.col("_id").alias(id_col))
+    one, two = _row_key(id_col, text_col)
+    keys = F.transform(F.split(text_of(text_col), "\n", -1), line_key)
+    long = F.filter(F.transform(keys, lambda k, i: F.struct(i.alias("at"), F.when(F.char_length(k) >= min_chars, _hash(k)).alias("key"))), lambda x: x["key"].isNotNull())
+    held = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), one.alias("g1"), two.alias("g2"), F.explode(long).alias("line"))
+    held = held.select("id", "g1", "g2", "line.at", F.col("line.key.a").alias("a"), F.col("line.key.b").alias("b"))
+    counted = held.select("id", "a", "b").distinct().groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_docs"), F.max("id").alias("keeper"))
+    hot = counted.filter(F.col("n_docs") >= min_docs).drop("n_docs")
+    lost = held.hint("merge").join(hot.hint("merge"), ["a", "b"]).filter("id <> keeper")
+    return lost.groupBy("g1", "g2").agg(F.array_sort(F.collect_set("at")).alias("gone"))
+
+
+def _row_key(id_col: str, text_col: str) -> list[Column]:
+    return fingerprint(F.col(id_col).cast("string"), text_of(text_col))
+
+
+def _without(lines: Column, gone: Column) -> Column:
+    """lines without those at the ascending places gone: the runs between them, so in one pass."""
+    before = lambda j: F.coalesce(F.get(gone, j - 1), F.lit(-1))
+    runs = F.transform(F.sequence(F.lit(0), F.size(gone)), lambda j: F.slice(lines, before(j) + 2, F.coalesce(F.get(gone, j), F.size(lines)) - before(j) - 1))
+    return F.flatten(runs)
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with text_col rewritten, and _n_lines and _n_dropped added."""
-    drops = (
-        repeated_keys(docs, min_chars, min_docs, id_col, text_col)
-        .groupBy(F.col(id_col).alias("_drop_id"))
-        .agg(F.collect_set("key").alias("_drop"))
-    )
-    joined = docs.join(drops, F.col(id_col) == F.col("_drop_id"), "left").drop("_drop_id")
-    lines = F.split(text_of(text_col), "\n", -1)
-
-    def stays(line: Column) -> Column:
-        key = line_key(line)
-        return (F.char_length(key) < min_chars) | ~F.array_contains(F.col("_drop"), _hash(key))
-
-    joined = joined.withColumn("_lines", lines).withColumn("_kept", F.when(F.col("_drop").isNull(), F.col("_lines")).otherwise(F.filter("_lines", stays)))
-    return (
-        joined.withColumn("_n_lines", F.size("_lines").cast("long"))
-        .withColumn("_n_dropped", (F.size("_lines") - F.size("_kept")).cast("long"))
-        .withColumn(text_col, F.when(F.col("_drop").isNull(), F.col(text_col)).otherwise(F.array_join("_kept", "\n")))
-        .drop("_drop", "_lines", "_kept")
-    )
+    one, two = _row_key(id_col, text_col)
+    drops = repeated_lines(docs, min_chars, min_docs, id_col, text_col)
+    joined = boxed(docs, g1=one, g2=two).join(drops, ["g1", "g2"], "left")
+    text = F.col("row").getField(text_col)
+    lines = F.split(F.coalesce(text.cast("string"), F.lit("")), "\n", -1)
+    kept = F.when(F.col("gone").isNull(), text).otherwise(F.array_join(_without(lines, F.col("gone")), "\n"))
+    n_dropped = F.when(F.col("gone").isNull(), F.lit(0)).otherwise(F.size("gone")).cast("long")
+    return unboxed(joined, docs.columns, **{text_col: kept, "_n_lines": F.size(lines).cast("long"), "_n_dropped": n_dropped})
 
 
 def query(docs: DataFrame) -> DataFrame:

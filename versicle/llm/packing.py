@@ -16,11 +16,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import text_of
 from .piece_codec import codec
 
-SCHEMA = "shard long, row long, n_tokens int, doc_ids array<long>, doc_offsets array<long>, cu_seqlens array<int>, ids binary, positions binary"
+#: The ids have the type of the input's.
+SCHEMA = "shard long, row long, n_tokens int, doc_ids array<{}>, doc_offsets array<long>, cu_seqlens array<int>, ids binary, positions binary"
 
 
 class Capacities:
@@ -92,13 +94,15 @@ def pack(docs: DataFrame, model: bytes, length: int = 2048, shard_bytes: int = 4
     text = text_of(text_col)
     total = docs.agg(F.sum(F.octet_length(text) + 16)).first()[0] or 0
     shards = total // shard_bytes + 1
+    kind = docs.schema[id_col].dataType
+    types = _types(to_arrow_type(kind))
     ids_as, pos_as = id_type(codec(model).size), id_type(length)
 
     def run(batches):
         c = codec(model)
         rows = [(b.column("id").to_pylist(), b.column("text").to_pylist(), b.column("shard").to_pylist()) for b in batches]
         keyed = [(d, hashlib.md5(t.encode()).digest(), t) for ds, ts, _ in rows for d, t in zip(ds, ts)]
-        order = sorted(range(len(keyed)), key=lambda i: (keyed[i][0] is not None, keyed[i][0] or 0, keyed[i][1]))
+        order = sorted(range(len(keyed)), key=lambda i: (keyed[i][0] is not None, *keyed[i][:2]))
         shard = rows[0][2][0]
         ids = [x.astype(ids_as) for x in c.encode([keyed[i][2] for i in order])]
         keys = [keyed[i][0] for i in order]
@@ -111,23 +115,24 @@ def pack(docs: DataFrame, model: bytes, length: int = 2048, shard_bytes: int = 4
             p[:n] = np.concatenate([np.arange(z) for z in sizes])
             out.append((shard, k, n, [s[0] for s in segments], [s[1] for s in segments], [0, *np.cumsum(sizes).tolist()], m.tobytes(), p.tobytes()))
             if len(out) == 256:
-                yield _batch(out)
+                yield _batch(out, types)
                 out = []
         if out:
-            yield _batch(out)
+            yield _batch(out, types)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text")).withColumn("shard", F.pmod(F.xxhash64("id", "text"), F.lit(shards)))
-    return rows.groupBy("shard").applyInArrow(_streamed(run), SCHEMA)
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("text")).withColumn("shard", F.pmod(F.xxhash64("id", "text"), F.lit(shards)))
+    return rows.groupBy("shard").applyInArrow(_streamed(run), SCHEMA.format(kind.simpleString()))
 
 
-_TYPES = pa.schema([
-    ("shard", pa.int64()), ("row", pa.int64()), ("n_tokens", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("doc_offsets", pa.list_(pa.int64())),
-    ("cu_seqlens", pa.list_(pa.int32())), ("ids", pa.binary()), ("positions", pa.binary()),
-])
+def _types(id_kind: pa.DataType) -> pa.Schema:
+    return pa.schema([
+        ("shard", pa.int64()), ("row", pa.int64()), ("n_tokens", pa.int32()), ("doc_ids", pa.list_(id_kind)), ("doc_offsets", pa.list_(pa.int64())),
+        ("cu_seqlens", pa.list_(pa.int32())), ("ids", pa.binary()), ("positions", pa.binary()),
+    ])
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _TYPES)], schema=_TYPES)
+def _batch(rows: list[tuple], types: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), types)], schema=types)
 
 
 def _streamed(run):
@@ -142,6 +147,8 @@ def _streamed(run):
 def unpack(packed: DataFrame, dtype: str = "<u2") -> DataFrame:
     """(doc_id, offset, ids): the segments again, in whatever order."""
 
+    kind = packed.schema["doc_ids"].dataType.elementType
+
     def run(batches):
         for b in batches:
             d, o, out = [], [], []
@@ -152,6 +159,6 @@ def unpack(packed: DataFrame, dtype: str = "<u2") -> DataFrame:
                     d.append(doc)
                     o.append(at)
                     out.append(flat[cu[k] : cu[k + 1]].tolist())
-            yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(o, pa.int64()), pa.array(out, pa.list_(pa.int32()))], names=["doc_id", "offset", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(d, b.schema.field("doc_ids").type.value_type), pa.array(o, pa.int64()), pa.array(out, pa.list_(pa.int32()))], names=["doc_id", "offset", "ids"])
 
-    return packed.select("doc_ids", "doc_offsets", "cu_seqlens", "ids").mapInArrow(run, "doc_id long, offset long, ids array<int>")
+    return packed.select("doc_ids", "doc_offsets", "cu_seqlens", "ids").mapInArrow(run, f"doc_id {kind.simpleString()}, offset long, ids array<int>")

@@ -16,7 +16,7 @@ from itertools import count
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fingerprint, let
+from .common import boxed, cut, fingerprint, let, unboxed
 
 _WORD = r"[\p{Lu}][\p{L}'’-]*"
 MALE_TITLES, FEMALE_TITLES = ("Mr", "Sir", "Herr", "Monsieur", "Señor", "Don", "г-н"), ("Mrs", "Ms", "Miss", "Madam", "Frau", "Madame", "Mme", "Señora", "Doña", "г-жа")
@@ -174,12 +174,12 @@ def replace_entities(docs: DataFrame, key: str, id_col: str = "doc_id", text_col
         .groupBy(F.col("id").alias("_id"), F.col("h").alias("_h2"))
         .agg(F.array_sort(F.collect_list(F.struct("i", "kind", "new"))).alias("_e"))
     )
-    out = docs.drop("_entities").withColumn("_h", fingerprint(F.col(text_col))[0])
-    out = out.join(by_doc, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_h2")), "left")
-    pieces = F.regexp_extract_all(F.col(text_col), F.lit(TILED), F.lit(1))
+    out = boxed(docs, id=F.col(id_col), text=F.col(text_col), h=fingerprint(F.col(text_col))[0])
+    out = out.join(by_doc, F.col("id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h2")), "left")
+    pieces = F.regexp_extract_all("text", F.lit(TILED), F.lit(1))
     new = F.array_join(F.transform(pieces, lambda p, i: F.concat(p, F.coalesce(F.get(F.col("_e"), i)["new"], F.lit("")))), "")
-    out = out.withColumn("_entities", F.coalesce(F.transform("_e", lambda e: F.struct(e["kind"].alias("kind"), e["new"].alias("surrogate"))), F.array()))
-    return out.withColumn(text_col, F.when(F.col("_e").isNull(), F.col(text_col)).otherwise(new)).drop("_id", "_h", "_h2", "_e")
+    found = F.coalesce(F.transform("_e", lambda e: F.struct(e["kind"].alias("kind"), e["new"].alias("surrogate"))), F.array())
+    return unboxed(out, docs.columns, **{text_col: F.when(F.col("_e").isNull(), F.col("text")).otherwise(new), "_entities": found})
 
 
 def query(docs: DataFrame, key: str = "surrogate key of this corpus") -> DataFrame:

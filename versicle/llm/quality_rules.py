@@ -12,7 +12,7 @@ of a measurement, in which case the measurement replaces them.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, let, text_of
+from .common import SPACE, boxed, let, text_of, unboxed
 
 WINDOW = 8
 #: Name and failure test of each rule; its place is its bit.
@@ -55,26 +55,27 @@ def _repeated(keys: Column, width: int) -> Column:
 
 
 def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    text = text_of(text_col)
-    lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(f"[^{SPACE}]"))
+    """docs with MEASURES; columns of docs that bear these names are replaced."""
+    out = boxed(docs, text=text_of(text_col))
+    text = F.col("text")
     gone = lambda p: F.char_length(text) - F.char_length(F.regexp_replace(text, p, ""))
-    out = docs.drop(*MEASURES).withColumns({
-        "_words": F.filter(F.split(text, f"[{SPACE}]+", -1), lambda w: w != ""),
-        "_lines": lines,
+    out = out.withColumns({
+        "words": F.filter(F.split(text, f"[{SPACE}]+", -1), lambda w: w != ""),
+        "lines": F.filter(F.split(text, "\n", -1), lambda x: x.rlike(f"[^{SPACE}]")),
         "n_symbols": gone(r"[#*$%&|<>]+").cast("long"),
         "n_shouts": F.regexp_count(text, F.lit(r"[A-Z]{2,}[^\x00-\x7F]?[A-Z]*!!")).cast("long"),
         "word_chars": gone(f"[^{SPACE}]+").cast("long"),
     })
     out = out.withColumns({
-        "n_words": F.size("_words").cast("long"),
-        "_h": F.transform("_words", lambda w: F.xxhash64(w)),
-        "n_text_lines": F.size("_lines").cast("long"),
-        "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
+        "n_words": F.size("words").cast("long"),
+        "h": F.transform("words", lambda w: F.xxhash64(w)),
+        "n_text_lines": F.size("lines").cast("long"),
+        "n_dup_lines": (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"),
     })
-    windows = F.transform(F.sequence(F.lit(0), F.size("_h") - WINDOW), lambda i: F.xxhash64(*[F.get(F.col("_h"), i + k) for k in range(WINDOW)]))
-    out = out.withColumn("_keys", F.when(F.size("_h") >= WINDOW, windows))
-    out = out.withColumn("n_repeat_words", F.when(F.size(F.array_distinct("_keys")) < F.size("_keys"), _repeated(F.col("_keys"), WINDOW)).otherwise(F.lit(0)).cast("long"))
-    return out.drop("_words", "_lines", "_h", "_keys")
+    windows = F.transform(F.sequence(F.lit(0), F.size("h") - WINDOW), lambda i: F.xxhash64(*[F.get(F.col("h"), i + k) for k in range(WINDOW)]))
+    out = out.withColumn("keys", F.when(F.size("h") >= WINDOW, windows))
+    out = out.withColumn("n_repeat_words", F.when(F.size(F.array_distinct("keys")) < F.size("keys"), _repeated(F.col("keys"), WINDOW)).otherwise(F.lit(0)).cast("long"))
+    return unboxed(out, docs.columns, **{m: F.col(m) for m in MEASURES})
 
 
 def ledger(docs: DataFrame, text_col: str = "text") -> DataFrame:

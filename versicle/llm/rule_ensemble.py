@@ -160,7 +160,7 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_rows: int = MAX_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Ensemble:
-    """Fits on at most max_rows labelled rows that are not held out."""
+    """Fits on at most max_rows labelled rows that are not held out, or twice as many where ids repeat in docs."""
     some = (
         labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col))
         .select(F.col(id_col).alias("_id"), F.col(label_col).cast("double").alias("_y"))
@@ -169,7 +169,9 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_rows
     )
     # at most max_rows ids and labels, so their broadcast is bounded
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(some), "_id")
-    got = rows.select("_y", stats_of(text_of()).alias("s")).select("_y", "s.*").limit(2 * max_rows).toPandas()
+    got = rows.select("_id", "_y", stats_of(text_of()).alias("s")).select("_id", "_y", "s.*")
+    # ids that repeat in docs make more rows: of these the first by id hash and statistics, twice max_rows at most
+    got = got.orderBy(F.xxhash64("_id"), "_id", *STATS, "_y").limit(2 * max_rows).drop("_id").toPandas()
     got = got.sort_values([*STATS, "_y"], kind="stable")
     return fit_rules(got[list(STATS)].to_numpy(np.float64), got["_y"].to_numpy(np.float64))
 
