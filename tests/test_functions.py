@@ -86,3 +86,17 @@ def test_similarity_column_agrees(spark):
     got = values(spark, titles.similarity(F.col("a"), F.col("b")), rows, "a string, b string")
     assert got == pytest.approx([titles.similarity_of_normal(a or "", b) for a, b in rows])
     assert got[:7] == [0.95, 1.0, 0.0, 0.9, 0.7, 0.85, 0.8]
+
+
+def test_rounding_is_half_even_on_the_binary_value(spark):
+    rows = [(m / n,) for n in (16, 80, 3, 400, 2000, 7) for m in range(n)]
+    got = spark.createDataFrame(rows, "x double").select(arrays.half_even(F.col("x"), 3)).collect()
+    assert [r[0] for r in got] == [round(x, 3) for (x,) in rows]
+    assert values(spark, clock.readable(F.col("s")), [(0.0625,), (59.125,)], "s double") == ["62ms", "59.12s"]
+
+
+def test_private_use_characters_and_long_numbers(spark):
+    t = "One \ue000 here. Dr. Who came! St. John."
+    [r] = spark.createDataFrame([(t,)], "t string").select(text.sentence_spans(F.col("t"))).collect()
+    assert [x["text"] for x in r[0]] == ["One \ue000 here.", "Dr. Who came!", "St. John."] and all(t[x["start"] : x["stop"]] == x["text"] for x in r[0])
+    assert values(spark, text.element_number(F.col("v")), [("mo_s_12345678901234567890",), ("mo_s_1234567890123456789",), ("mo_s_0007",)], "v string") == [None, 1234567890123456789, 7]

@@ -1,4 +1,4 @@
-"""Array helpers that stay inside one row."""
+"""Array and number helpers that stay inside one row."""
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -27,3 +27,17 @@ def prefix_sums(sizes: Column) -> Column:
         return F.when(F.size(s) == 0, F.array().cast("array<int>")).otherwise(let(width, by_block))
 
     return let(sizes, of)
+
+
+def half_even(value: Column, places: int) -> Column:
+    """value rounded to decimal places, to the even one at a tie. What decides is the exact binary value, not the shortest
+    decimal that stands for it: value is split in two so that its product with 2 * 10^places has no rounding error."""
+    twice = 2.0 * 10**places
+    near = F.rint(value * twice)
+    wide = value * 134217729.0
+    high = wide - (wide - value)
+    over = (high * twice - near) + (value - high) * twice
+    below, above = (near - 1) / 2, (near + 1) / 2
+    even = F.when(below % 2 == 0, below).otherwise(above)
+    between = F.when(over > 0, above).when(over < 0, below).otherwise(even)
+    return F.when(near % 2 == 0, near / 2).otherwise(between) / 10.0**places

@@ -3,6 +3,8 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .arrays import half_even
+
 
 def to_ms(seconds: Column) -> Column:
     return F.rint(seconds * 1000).cast("long")
@@ -39,7 +41,7 @@ def hms_clock(ms: Column) -> Column:
 def readable(seconds: Column) -> Column:
     s = F.greatest(seconds, F.lit(0.0))
     return (
-        F.when(s < 0.001, "< 1ms").when(s < 1, F.format_string("%.0fms", s * 1000)).when(s < 60, F.format_string("%.2fs", s))
-        .when(s < 3600, F.format_string("%dm %.1fs", F.floor(s / 60).cast("long"), s % 60))
-        .otherwise(F.format_string("%dh %dm %.0fs", F.floor(s / 3600).cast("long"), F.floor(s % 3600 / 60).cast("long"), s % 60))
+        F.when(s < 0.001, "< 1ms").when(s < 1, F.format_string("%.0fms", half_even(s * 1000, 0))).when(s < 60, F.format_string("%.2fs", half_even(s, 2)))
+        .when(s < 3600, F.format_string("%dm %.1fs", F.floor(s / 60).cast("long"), half_even(s % 60, 1)))
+        .otherwise(F.format_string("%dh %dm %.0fs", F.floor(s / 3600).cast("long"), F.floor(s % 3600 / 60).cast("long"), half_even(s % 60, 0)))
     )

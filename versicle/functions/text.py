@@ -6,27 +6,28 @@ from pyspark.sql import functions as F
 from .arrays import let, prefix_sums
 
 BLANK = r" \t\n\r\f"
-#: The stop after these does not end a sentence. It is held by a character of the private use area meanwhile.
+#: The stop after these does not end a sentence.
 ABBREVIATIONS = ("Mr", "Mrs", "Ms", "Dr", "Prof", "St", "Jr", "Sr", "Mme", "Mlle")
-HELD = "\ue000"
-#: A sentence with the separators before it, so that the matches tile the text.
-TILE = rf"""[.!?{BLANK}]*[^.!?{BLANK}][^.!?]*(?:[.!?]+["']?|\z)"""
+
+
+def _tile(abbreviations: tuple[str, ...]) -> str:
+    """A sentence with the separators before it, so that the matches tile the text."""
+    on = rf"(?:(?<=\b(?:{'|'.join(abbreviations)}))\.[^.!?]*+)*+" if abbreviations else ""
+    return rf"""[.!?{BLANK}]*+[^.!?{BLANK}][^.!?]*+{on}(?:[.!?]+["']?|\z)"""
 
 
 def sentence_spans(text: Column, abbreviations: tuple[str, ...] = ABBREVIATIONS) -> Column:
     """array<struct<start, stop, text>> of a text's sentences."""
-    held = F.regexp_replace(text, rf"\b({'|'.join(abbreviations)})\.", f"$1{HELD}") if abbreviations else text
-
     def cores(tiles: Column) -> Column:
         def span(m: Column, i: Column, ends: Column) -> Column:
             core = F.ltrim(m, F.lit(".!? \t\n\r\f"))
             start = F.get(ends, i) + F.char_length(m) - F.char_length(core)
             clean = F.rtrim(core, F.lit(" \t\n\r\f"))
-            return F.struct(start.alias("start"), (start + F.char_length(clean)).alias("stop"), F.replace(clean, F.lit(HELD), F.lit(".")).alias("text"))
+            return F.struct(start.alias("start"), (start + F.char_length(clean)).alias("stop"), clean.alias("text"))
 
         return let(prefix_sums(F.transform(tiles, F.char_length)), lambda before: F.transform(tiles, lambda m, i: span(m, i, before)))
 
-    return let(F.regexp_extract_all(held, F.lit(TILE), F.lit(0)), cores)
+    return let(F.regexp_extract_all(text, F.lit(_tile(abbreviations)), F.lit(0)), cores)
 
 
 def word_tokens(text: Column) -> Column:
@@ -48,7 +49,7 @@ def is_element_id(value: Column, prefix: str = "mo_s_") -> Column:
 
 
 def element_number(value: Column, prefix: str = "mo_s_") -> Column:
-    return F.when(is_element_id(value, prefix), F.substring(value, len(prefix) + 1, 18).cast("long"))
+    return F.when(is_element_id(value, prefix), F.substring(value, len(prefix) + 1, 40).try_cast("long"))
 
 
 def slug(value: Column) -> Column:

@@ -145,9 +145,14 @@ def dead_links(links: DataFrame, files: DataFrame, keys: Sequence[str], instead:
     return gone.join(has, list(keys), "left").select(*keys, "src", "new_src")
 
 
-def active_style(css: Column, name: str = "-epub-media-overlay-active") -> Column:
-    """css with a rule for the active class, unless it has one."""
-    rule = f"\n\n.{name} {{\n  background-color: #ffff99;\n}}\n"
+# Fixed value: the highlight's colour unless another is asked for.
+HIGHLIGHT = "#ffe58a"
+
+
+def active_style(css: Column, name: str = "-epub-media-overlay-active", color: str = HIGHLIGHT) -> Column:
+    """css with a rule for the active class, unless it has one; a rule alone where there is no css."""
+    css = F.coalesce(css, F.lit(""))
+    rule = f"\n\n.{name} {{\n  background-color: {color};\n}}\n"
     return F.when(css.contains(name), css).otherwise(F.concat(F.rtrim(css), F.lit(rule)))
 
 

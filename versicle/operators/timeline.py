@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrays import half_even
 from ..functions.clock import hms_clock
 
 BLOCK = 1024
@@ -144,4 +145,4 @@ def last_end(rows: DataFrame, keys: Sequence[str], pos: str = "pos") -> DataFram
 
 def confidence(matched: Column, total: Column) -> Column:
     """Share of matched words to three places; 1 for a sentence without words."""
-    return F.when(total == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.round(matched / total, 3))))
+    return F.when(total == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), half_even(matched / total, 3))))

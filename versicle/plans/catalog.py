@@ -298,7 +298,7 @@ def block_groups(spark, sf_dir):
 
 def block_checks(spark, sf_dir):
     e = _events(spark, sf_dir).select("user_id", F.concat(F.lit("/p["), (F.col("event_id") % 5).cast("string"), F.lit("]")).alias("block_xpath"))
-    b = _t(spark, sf_dir, "events").filter("event_id % 3 <> 0").select("user_id", F.concat(F.lit("/p["), (F.col("event_id") % 4).cast("string"), F.lit("]")).alias("block_xpath"))
+    b = _t(spark, sf_dir, "events").select("user_id", F.concat(F.lit("/p["), (F.col("event_id") % 4).cast("string"), F.lit("]")).alias("block_xpath"))
     return overlay.unresolved_blocks(e, b, ["user_id"])
 
 

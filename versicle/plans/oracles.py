@@ -1,5 +1,7 @@
 """DuckDB SQL of the registered queries that SQL can express."""
 
+from ..functions import titles
+
 HELD = "\ue000"
 
 _SENTENCES = rf"""
@@ -23,22 +25,7 @@ e AS (
 
 _HMS = lambda c: f"printf('%02d:%02d:%02d.%03d', {c} // 3600000, {c} // 60000 % 60, {c} // 1000 % 60, {c} % 1000)"
 
-_REASONS = [
-    ("TOC|CONTENTS|TABLE OF CONTENTS", "detected front-matter TOC"),
-    ("DRAMATIS PERSONAE", "detected front-matter Dramatis Personae"),
-    ("COPYRIGHT|ALL RIGHTS RESERVED", "detected front-matter Copyright"),
-    ("TITLE PAGE|HALF TITLE", "detected front-matter Title Page"),
-    ("DEDICATION", "detected front-matter Dedication"),
-    ("EPIGRAPH", "detected front-matter Epigraph"),
-    ("ALSO BY|BOOKS BY|OTHER BOOKS|PRAISE FOR", "detected front-matter Also by"),
-    ("TIMELINE", "detected back-matter Timeline"),
-    ("APPENDIX", "detected back-matter Appendix"),
-    ("ABOUT THE AUTHOR|AUTHOR BIO|ABOUT AUTHOR", "detected back-matter About the Author"),
-    ("COLOPHON", "detected back-matter Colophon"),
-    ("GLOSSARY", "detected back-matter Glossary"),
-    ("NOTES|FOOTNOTES|ENDNOTES", "detected back-matter Notes"),
-    ("TEASER|PREVIEW|ADVERTISEMENTS?", "detected back-matter Advertisements"),
-]
+_REASONS = titles.SECTIONS  # fixed values, kept there
 _QUOTE = lambda x: "'" + x.replace("'", "''") + "'"
 _TITLES = [
     "Chapter", "Contents of", "Dramatis Personae", "All Rights Reserved", "Half Title", "Dedication", "Epigraph", "Books by", "Timeline", "Appendix",
@@ -62,9 +49,9 @@ SELECT norm, count(*) AS n FROM (
   CASE WHEN p_size % 11 = 0 THEN ['toc', 'copyright-page', 'cover', 'text'][p_partkey % 4 + 1] ELSE '' END AS g FROM part)
 SELECT p_partkey, title, CASE WHEN contains(g, 'toc') THEN 'detected front-matter TOC' WHEN contains(g, 'copyright') THEN 'detected front-matter Copyright'
   WHEN contains(g, 'cover') THEN 'detected OPF guide/landmark ''cover''' """
-    + " ".join(rf"WHEN regexp_matches(upper(title), '\b({p})\b') THEN {_QUOTE(r)}" for p, r in _REASONS)
-    + r""" WHEN regexp_matches(title || ' ' || preview, '[\x{2018}''"](?s:.{5,})[\x{2019}''"]\s*[\x{2014}-]') OR regexp_matches(upper(preview), '\bEPIGRAPH\b') THEN 'detected front-matter Epigraph'
-  WHEN regexp_matches(upper(preview), '\bDRAMATIS PERSONAE\b') THEN 'detected front-matter Dramatis Personae' END AS reason FROM t""",
+    + " ".join(rf"WHEN regexp_matches(lower(title), '\b({p})\b') THEN {_QUOTE(r)}" for p, r in _REASONS)
+    + r""" WHEN regexp_matches(title || ' ' || preview, '[‘''"](?s:.{5,})[’''"]\s*[—-]') OR regexp_matches(lower(preview), '\bepigraph\b') THEN 'detected front-matter Epigraph'
+  WHEN regexp_matches(lower(preview), '\bdramatis personae\b') THEN 'detected front-matter Dramatis Personae' END AS reason FROM t""",
     "timeline_continuous": f"""WITH {_EVENTS}
 SELECT user_id, pos, printf('par_%04d', pos) AS par_id, CASE WHEN pos = 1 THEN 0 ELSE greatest(start_ms, lag(end_ms) OVER w) END AS clip_start,
   greatest(end_ms, coalesce(lead(start_ms) OVER w, end_ms)) AS clip_end FROM tl WINDOW w AS (PARTITION BY user_id ORDER BY pos)""",
@@ -115,7 +102,7 @@ SELECT *, {_HMS("duration_ms")} AS clock FROM r""",
 SELECT event_id, printf('%d.%03ds', start_ms // 1000, start_ms % 1000) AS smil, {_HMS("start_ms * 61")} AS hms, start_ms * 61 AS parsed_ms, start_ms AS smil_ms FROM tl WHERE start_ms >= 0""",
     "positional_map": """
 WITH c AS (SELECT n_regionkey AS book_id, n_nationkey AS chapter_pos, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS rank FROM nation),
-u AS (SELECT s_suppkey % 5 AS book_id, s_suppkey AS unit_pos, row_number() OVER (PARTITION BY s_suppkey % 5 ORDER BY s_suppkey) AS rank FROM supplier WHERE s_suppkey <= 40)
+u AS (SELECT s_suppkey % 5 AS book_id, s_suppkey AS unit_pos, row_number() OVER (PARTITION BY s_suppkey % 5 ORDER BY s_suppkey) AS rank FROM supplier)
 SELECT CAST(coalesce(c.book_id, u.book_id) AS BIGINT) AS book_id, coalesce(c.rank, u.rank) AS rank, CAST(coalesce(chapter_pos, -1) AS BIGINT) AS chapter_pos, CAST(coalesce(unit_pos, -1) AS BIGINT) AS unit_pos FROM c FULL JOIN u ON c.book_id = u.book_id AND c.rank = u.rank""",
     "manual_map": """
 WITH c AS (SELECT n_regionkey AS book_id, n_nationkey AS p, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS i,
@@ -162,7 +149,7 @@ SELECT book_id, name, arg_min(['EPUB/', 'OEBPS/', 'OPS/', 'other/deep/', ''][k +
   SELECT user_id, '/p[' || (event_id % 5) || ']' AS block_xpath, min(pos) AS first_pos, CAST(count(*) AS INT) AS n FROM tl GROUP BY ALL)
 SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY first_pos) AS block_rank FROM g""",
     "block_checks": f"""WITH {_EVENTS}, a AS (SELECT DISTINCT user_id, '/p[' || (event_id % 5) || ']' AS block_xpath FROM tl),
-b AS (SELECT user_id, '/p[' || (event_id % 4) || ']' AS block_xpath, count(*) AS n FROM events WHERE event_id % 3 <> 0 GROUP BY ALL)
+b AS (SELECT user_id, '/p[' || (event_id % 4) || ']' AS block_xpath, count(*) AS n FROM events GROUP BY ALL)
 SELECT a.user_id, a.block_xpath, coalesce(b.n, 0) AS n FROM a LEFT JOIN b ON a.user_id = b.user_id AND a.block_xpath = b.block_xpath WHERE coalesce(b.n, 0) <> 1""",
     "svg_items": "SELECT page_id, CASE WHEN page_id % 4 = 0 OR contains(lower(html), '<svg') THEN 'scripted svg' ELSE 'scripted' END AS properties FROM pages",
     "paths": r"SELECT page_id, regexp_extract(url, '([^/\\]*)$', 1) AS basename, regexp_replace(regexp_extract(url, '([^/\\]*)$', 1), '[^A-Za-z0-9_-]', '_', 'g') AS slug, trim(split_part(url || '#part', '#', 1)) AS path FROM pages",

@@ -99,19 +99,21 @@ def segments_of(markup: str | None) -> list[tuple[str, str, str]]:
     """(path of the owner, 'text' or 'tail', text) of the text runs in each block, in order."""
     tree, out = Tree(markup or ""), []
 
-    def run(block: Node, node: Node) -> None:
-        last = None
-        for c in node.children:
-            if isinstance(c, str):
-                out.append((block.path, "text" if last is None else "tail", c))
+    for block in walk(tree.root):
+        if block.tag not in BLOCKS:
+            continue
+        # (rest of a node's children, whether an element came before), innermost last
+        stack = [[iter(block.children), False]]
+        while stack:
+            c = next(stack[-1][0], None)
+            if c is None:
+                stack.pop()
+            elif isinstance(c, str):
+                out.append((block.path, "tail" if stack[-1][1] else "text", c))
             else:
+                stack[-1][1] = True
                 if c.tag not in BLOCKS:
-                    run(block, c)
-                last = c
-
-    for node in walk(tree.root):
-        if node.tag in BLOCKS:
-            run(node, node)
+                    stack.append([iter(c.children), False])
     return out
 
 

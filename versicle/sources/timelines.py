@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.arrays import half_even
+
 PROBE = "chapters array<struct<id:bigint,time_base:string,start:bigint,start_time:string,end:bigint,end_time:string,tags:struct<title:string>>>, format struct<duration:string,tags:struct<title:string>>"
 #: Numbers are read as text, so that 12.5 becomes 12 as by a cast, and words fail.
 ENTRY = "element_id:string,text:string,start_ms:string,end_ms:string,confidence:string,block_xpath:string,char_start:string,char_end:string"
@@ -59,7 +61,7 @@ def read_alignment(spark: SparkSession, path: str) -> DataFrame:
 
 def alignment_json(timeline: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, json): chapters in order, entries in order, confidence to four places."""
-    entry = F.struct("pos", F.struct("element_id", "text", "start_ms", "end_ms", F.round("confidence", 4).alias("confidence"), "block_xpath", "char_start", "char_end").alias("e"))
+    entry = F.struct("pos", F.struct("element_id", "text", "start_ms", "end_ms", half_even(F.col("confidence").cast("double"), 4).alias("confidence"), "block_xpath", "char_start", "char_end").alias("e"))
     head = ["spine_item_id", "xhtml_filename", "audio_filename"]
     chapters = timeline.groupBy(*keys, "chapter_pos", *head).agg(F.array_sort(F.collect_list(entry)).alias("t"))
     chapter = F.struct("chapter_pos", F.struct(*head, F.transform("t", lambda x: x["e"]).alias("timeline")).alias("c"))
