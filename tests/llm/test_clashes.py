@@ -95,3 +95,17 @@ def test_lines_of_a_long_text(spark):
     rows = [(i, "\n".join(f"{LINE} with the number {k}" for k in range(20_000))) for i in range(6)]
     got = {r["doc_id"]: r["n_dropped"] for r in line_dedup.query(plain(spark, rows)).collect()}
     assert got == {**{i: 20_000 for i in range(5)}, 5: 0}
+
+
+def test_surrogates_of_odd_texts(spark):
+    rows = [
+        (1, "x@" + "a." * 500_000), (2, "call 555-123-4567 or 020 7946 0958 or 2001:db8::ff00:42:8329 or 2001:DB8:0:1:2:3:4:5 at 12:30:45"),
+        (3, "Mr. John Smith"), (4, "then Dr. John Smith"), (5, "x@" + "ab." * 60 + "com"), (6, None), (7, ""),
+    ]
+    got = {r["doc_id"]: r for r in pii_surrogates.query(plain(spark, rows)).collect()}
+    assert got[1]["text"] == rows[0][1] and got[2]["kinds"] == ["phone", "phone", "ip6", "ip6"] and "12:30:45" in got[2]["text"]
+    assert not any(x in got[2]["text"] for x in ("555-123-4567", "020 7946 0958", "2001:db8::ff00:42:8329", "2001:DB8:0"))
+    first, second = got[3]["text"], got[4]["text"]
+    assert first.removeprefix("Mr. ") == second.removeprefix("then Dr. ") != "John Smith"
+    assert first.split()[1] in pii_surrogates.NAMES["latin", "m"] and got[5]["kinds"] == ["email"]
+    assert got[6]["text"] is None and got[7]["text"] == ""

@@ -22,11 +22,15 @@ _WORD = r"[\p{Lu}][\p{L}'’-]*"
 MALE_TITLES, FEMALE_TITLES = ("Mr", "Sir", "Herr", "Monsieur", "Señor", "Don", "г-н"), ("Mrs", "Ms", "Miss", "Madam", "Frau", "Madame", "Mme", "Señora", "Doña", "г-жа")
 MALE_TITLES, FEMALE_TITLES, OTHER_TITLES = ((*t, *map(str.upper, t)) for t in (MALE_TITLES, FEMALE_TITLES, ("Dr", "Prof")))
 TITLES = "|".join((*MALE_TITLES, *FEMALE_TITLES, *OTHER_TITLES))
-#: Kind and pattern. Each starts only where no such run is under way, so failing attempts don't add up.
+_HEX = "[0-9A-Fa-f]{1,4}"
+#: Kind and pattern. Each starts only where no such run is under way, so failing attempts don't add up, and all repeated
+#: groups are bounded: a host name has at most 127 labels, and a matcher's stack does not grow with the text.
 KINDS = [
-    ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"),
+    ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++){0,125}\.[A-Za-z]{2,}"),
+    ("ip6", rf"(?<![0-9A-Za-z:])(?:(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}:){{1,6}}(?::{_HEX}){{1,6}})(?![0-9A-Za-z:])"),
     ("ip", r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])"),
-    ("phone", r"(?<![0-9+])\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,3}(?![0-9])|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])"),
+    ("phone", r"(?<![0-9+])\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,3}(?![0-9])|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])"
+              r"|(?<![0-9.-])[0-9]{3}(?:-[0-9]{3}-|\.[0-9]{3}\.| [0-9]{3} )[0-9]{4}(?![0-9-]|\.[0-9])|(?<![0-9+.-])0[0-9]{2,4} [0-9]{3,4} [0-9]{3,4}(?![0-9-])"),
     ("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
     ("card", r"(?<![0-9])[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,4}(?![0-9])"),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
@@ -35,7 +39,7 @@ KINDS = [
 PATTERN = "|".join(f"(?:{p})" for _, p in KINDS)
 TILED = rf"(?s)(.*?)(?:({PATTERN})|\z)"
 #: A text without any of these holds no entity.
-MAYBE = rf"@|[0-9][0-9.() -]{{5}}|[A-Z]{{2}}[0-9]{{2}} ?[A-Z0-9]{{4}}|(?:{TITLES})\.? [\p{{Lu}}]"
+MAYBE = rf"@|[0-9][0-9.() -]{{5}}|{_HEX}:(?::|{_HEX}:{_HEX}:)|[A-Z]{{2}}[0-9]{{2}} ?[A-Z0-9]{{4}}|(?:{TITLES})\.? [\p{{Lu}}]"
 NAMES = {
     ("latin", "m"): "James John Robert Michael David William Thomas Daniel Paul Peter Simon Martin Oliver Victor Henry Samuel Julian Adrian Felix Leon".split(),
     ("latin", "f"): "Mary Anna Laura Sarah Emma Julia Clara Helen Alice Nora Eva Marta Sofia Irene Lucia Paula Diana Rosa Vera Ines".split(),
@@ -57,33 +61,38 @@ def _kind(m: Column) -> Column:
 
 def _canonical(kind: Column, m: Column) -> Column:
     bare = F.regexp_replace(m, rf"\A(?:{TITLES})\.? ", "")
-    gender = F.when(m.rlike(rf"\A(?:{'|'.join(MALE_TITLES)})[. ]"), "m").when(m.rlike(rf"\A(?:{'|'.join(FEMALE_TITLES)})[. ]"), "f").otherwise("u")
     script = F.when(bare.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
     digits = F.regexp_replace(m, "[^0-9]", "")
     return (
-        F.when(kind == "email", F.lower(m)).when(kind == "ip", m).when(kind == "iban", F.regexp_replace(m, " ", ""))
-        .when(kind == "name", F.concat_ws("|", gender, script, F.lower(bare)))
+        F.when(kind.isin("email", "ip6"), F.lower(m)).when(kind == "ip", m).when(kind == "iban", F.regexp_replace(m, " ", ""))
+        .when(kind == "name", F.concat_ws("|", script, F.lower(bare)))
         .when((kind == "phone") & (F.length(digits) == 10), F.concat(F.lit("1"), digits)).otherwise(digits)
     )
 
 
+def _gender(m: Column) -> Column:
+    """What a mention's title says of gender, or null."""
+    return F.when(m.rlike(rf"\A(?:{'|'.join(MALE_TITLES)})[. ]"), "m").when(m.rlike(rf"\A(?:{'|'.join(FEMALE_TITLES)})[. ]"), "f")
+
+
 def entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, h, i, kind, canon, mention): the i-th entity of each text."""
+    """(id, h, i, kind, canon, gender, mention): the i-th entity of each text."""
     text = F.col(text_col)
     found = F.filter(F.transform(F.regexp_extract_all(text, F.lit(TILED), F.lit(2)), lambda m, i: F.struct(i.alias("i"), m.alias("m"))), lambda x: x["m"] != "")
     rows = docs.filter(text.rlike(MAYBE)).select(F.col(id_col).alias("id"), fingerprint(text)[0].alias("h"), found.alias("e"))
     rows = rows.filter(F.size("e") > 0).dropDuplicates(["id", "h"]).select("id", "h", F.explode("e").alias("e")).select("id", "h", "e.i", F.col("e.m").alias("mention"))
     rows = rows.withColumn("kind", _kind(F.col("mention")))
-    return rows.withColumn("canon", _canonical(F.col("kind"), F.col("mention")))
+    name = F.col("kind") == "name"
+    return rows.withColumn("canon", _canonical(F.col("kind"), F.col("mention"))).withColumn("gender", F.when(name, _gender(F.col("mention"))))
 
 
-def _layout(s: Column, noise: Column) -> Column:
-    """s with each ASCII letter and digit drawn anew; noise is 64 hex digits."""
+def _layout(s: Column, noise: Column, letters: int = 26) -> Column:
+    """s with each ASCII letter, of the first so many, and digit drawn anew; noise is 64 hex digits."""
 
     def one(c: Column, i: Column) -> Column:
         v = F.conv(F.substring(noise, 2 * (i % 32) + 1, F.lit(2)), 16, 10).cast("int") + i.cast("int")
         pick = lambda first, n: F.chr(F.lit(ord(first)) + v % n)
-        return F.when(c.rlike("[0-9]"), pick("0", 10)).when(c.rlike("[a-z]"), pick("a", 26)).when(c.rlike("[A-Z]"), pick("A", 26)).otherwise(c)
+        return F.when(c.rlike("[0-9]"), pick("0", 10)).when(c.rlike("[a-z]"), pick("a", letters)).when(c.rlike("[A-Z]"), pick("A", letters)).otherwise(c)
 
     return F.array_join(F.transform(F.filter(F.split(s, ""), lambda c: c != ""), one), "")
 
@@ -113,16 +122,16 @@ def _surrogate(key: str, attempt: int) -> Column:
         local, domain = F.substring(canon, F.lit(1), at - 1), F.substring(canon, at + 1, F.length(canon) - at - F.length(dot))
         keep = _kept()
         bits = F.split(canon, r"\|")
-        gender = F.when(F.get(bits, F.lit(0)) != "u", F.get(bits, F.lit(0))).otherwise(F.when(byte(5) % 2 == 0, "m").otherwise("f"))
+        gender = F.coalesce("gender", F.when(byte(5) % 2 == 0, "m").otherwise("f"))
         draw = lambda script, part, b: F.element_at(F.array(*map(F.lit, NAMES[script, part])), b % len(NAMES[script, part]) + 1)
-        by_script = lambda f: F.when(F.get(bits, F.lit(1)) == "cyrillic", f("cyrillic")).otherwise(f("latin"))
+        by_script = lambda f: F.when(F.get(bits, F.lit(0)) == "cyrillic", f("cyrillic")).otherwise(f("latin"))
         parts = 2 + attempt // 3 if attempt else 1  # grows without bound, so names never run out; bytes 4 and 5 are the given name's
         surname = by_script(lambda s: F.concat_ws("-", *[draw(s, "s", byte(i if i < 4 else 6 + (i - 4) % 26)) for i in range(parts)]))
         given = by_script(lambda s: F.when(gender == "m", draw(s, "m", byte(4))).otherwise(draw(s, "f", byte(4))))
-        name = F.when(F.get(bits, F.lit(2)).contains(" "), F.concat_ws(" ", given, surname)).otherwise(surname)
+        name = F.when(F.get(bits, F.lit(1)).contains(" "), F.concat_ws(" ", given, surname)).otherwise(surname)
         return (
             F.when(kind == "email", F.concat(_layout(local, noise), tail, F.lit("@"), _layout(domain, F.reverse(noise)), dot))
-            .when(kind == "ip", F.concat_ws(".", byte(0) % 223 + 1, byte(1), byte(2), byte(3) % 254 + 1))
+            .when(kind == "ip6", _layout(canon, noise, 6)).when(kind == "ip", F.concat_ws(".", byte(0) % 223 + 1, byte(1), byte(2), byte(3) % 254 + 1))
             .when(kind == "name", name)
             .otherwise(F.concat(F.substring(canon, F.lit(1), keep), _layout(F.substring(canon, keep + 1, F.length(canon)), noise)))
         )
@@ -132,7 +141,9 @@ def _surrogate(key: str, attempt: int) -> Column:
 
 def surrogates(found: DataFrame, key: str) -> DataFrame:
     """(kind, canon, surrogate), one row for each distinct entity; no surrogate is shared or equal to an entity."""
-    every = cut(found.select("kind", "canon").distinct())
+    # one person under several titles is one entity; titles that contradict each other say nothing
+    known = F.when(F.min("gender") == F.max("gender"), F.min("gender")).alias("gender")
+    every = cut(found.groupBy("kind", "canon").agg(known))
     taken = every.select("kind", F.when(F.col("kind") == "name", F.initcap(F.element_at(F.split("canon", r"\|"), -1))).otherwise(F.col("canon")).alias("surrogate"))
     left, settled = every, None
     for attempt in count():
@@ -158,7 +169,7 @@ def _rendered(kind: Column, mention: Column, surrogate: Column) -> Column:
     title = F.regexp_extract(mention, rf"\A((?:{TITLES})\.? )", 1)
     bare = F.substring(mention, F.length(title) + 1, F.length(mention))
     return (
-        F.when(kind == "email", F.when(loud & mention.rlike("[A-Z]"), F.upper(surrogate)).otherwise(surrogate)).when(kind == "ip", surrogate)
+        F.when(kind == "email", F.when(loud & mention.rlike("[A-Z]"), F.upper(surrogate)).otherwise(surrogate)).when(kind == "ip", surrogate).when(kind == "ip6", F.when(mention.rlike("[A-F]"), F.upper(surrogate)).otherwise(surrogate))
         .when(kind == "name", F.concat(title, F.when((bare == F.upper(bare)) & (F.length(bare) > 1), F.upper(surrogate)).otherwise(surrogate)))
         .otherwise(filled)
     )
