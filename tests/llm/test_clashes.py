@@ -1,5 +1,7 @@
 """Columns whose names clash with those the operators use inside, ids of other types, rows that repeat, adversarial words."""
 
+import random
+
 import pytest
 from conftest import DATA, needs_data  # noqa: F401
 from pyspark.sql import functions as F
@@ -109,3 +111,12 @@ def test_surrogates_of_odd_texts(spark):
     assert first.removeprefix("Mr. ") == second.removeprefix("then Dr. ") != "John Smith"
     assert first.split()[1] in pii_surrogates.NAMES["latin", "m"] and got[5]["kinds"] == ["email"]
     assert got[6]["text"] is None and got[7]["text"] == ""
+
+
+def test_repeats_go_by_row(spark):
+    rng = random.Random(5)
+    block, other = ("".join(rng.choice("abcdefgh ") for _ in range(150)) for _ in range(2))
+    rows = [(1, block), (5, other + block), (5, "short text of another row " * 4 + "x"), (7, other), (7, other), (9, other[:120] + " and an end of its own")]
+    got = {(r["doc_id"], r["n_bytes"], r["n_removed"]) for r in suffix_dedup.query(plain(spark, rows)).collect()}
+    assert {(1, 150, 0), (5, 300, 150), (7, 150, 150)} <= got
+    assert (5, 105, 0) in got and (9, 142, 120) in got

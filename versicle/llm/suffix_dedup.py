@@ -15,19 +15,18 @@ partial aggregates, which gives the same result.
 Hashes are 64 bits; windows on the latter way carry two.
 
 Defined cases. Null or empty text, or one shorter than `width`: nothing is removed. Null doc_id: the row takes no part
-and stays whole. Rows that repeat both doc_id and text are one document and give the same result; a doc_id is taken to
-name one text. An empty table gives an empty result; further columns are not read.
+and stays whole. Rows that repeat both doc_id and text are one document and give the same result. Rows that repeat a
+doc_id with different texts are documents each, in the order of a hash of the text. An empty table gives an empty
+result; further columns are not read.
 """
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, text_of
 from .shingle_join import _U, _mix
 
 WIDTH, GRAM = 100, 32
@@ -108,19 +107,20 @@ def _texts(rows: list[bytes], width: int):
 
 
 def occurrences(docs: DataFrame, width: int, gram: int) -> DataFrame:
-    """(h, s, doc, place): segments by anchor hash and segment hash; place packs first window, windows, anchor offset."""
+    """(h, s, doc, g, place): segments by anchor hash and segment hash; g tells texts of one doc_id apart, place packs first
+    window, windows, anchor offset."""
 
     def run(batches):
         for b in batches:
-            ids = b.column("doc_id").cast(pa.int64()).to_numpy(zero_copy_only=False)
+            ids, tags = (b.column(c).cast(pa.int64()).to_numpy(zero_copy_only=False) for c in ("doc_id", "g"))
             for held in _texts([(t or "").encode() for t in b.column("text").to_pylist()], width):
                 edge = np.cumsum([0, *(len(p) for _, _, p in held)])
                 d, a, n, off, h, s = anchors(np.frombuffer(b"".join(p for _, _, p in held), np.uint8), edge, width, gram)
                 row, base = (np.array([x[i] for x in held], np.int64) for i in (0, 1))
                 place = ((a + base[d]) << 16) | (n << 8) | off
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h.view(np.int64), s.view(np.int64), ids[row[d]], place)], names=["h", "s", "doc", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h.view(np.int64), s.view(np.int64), ids[row[d]], tags[row[d]], place)], names=["h", "s", "doc", "g", "place"])
 
-    return docs.filter("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(run, "h long, s long, doc long, place long")
+    return docs.filter("doc_id IS NOT NULL").select("doc_id", "g", "text").mapInArrow(run, "h long, s long, doc long, g long, place long")
 
 
 def sort_collection(segments: list[bytes], width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -178,7 +178,8 @@ def sort_collection(segments: list[bytes], width: int = WIDTH) -> tuple[np.ndarr
 
 
 def repeated_windows(segments: list[bytes], doc: np.ndarray, first: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
-    """(segment, offset) of the windows of which an equal one has a lesser (doc, first + offset)."""
+    """(segment, offset) of the windows of which an equal one has a lesser (doc, first + offset). What stands at one place
+    is one window, however many segments have it."""
     sid, length, lcp = sort_collection(segments, width)
     size = np.array([len(s) for s in segments], np.int64)
     whole = length >= width
@@ -187,8 +188,9 @@ def repeated_windows(segments: list[bytes], doc: np.ndarray, first: np.ndarray,
     off = size[sid] - length[whole]
     place = first[sid] + off
     by = np.lexsort((place, doc[sid], group))
-    lead = np.r_[True, np.diff(group[by]) != 0]
-    gone = by[~lead]
+    new = np.r_[True, np.diff(group[by]) != 0] if len(by) else np.empty(0, bool)
+    head = by[np.maximum.accumulate(np.where(new, np.arange(len(by)), 0))]
+    gone = by[(doc[sid[by]] != doc[sid[head]]) | (place[by] != place[head])]
     return sid[gone], off[gone]
 
 
@@ -209,16 +211,16 @@ def may_share(keys: list[int], segments: list[bytes], off: list[int], width: int
 
 
 def _bytes_of(docs: DataFrame, wanted: DataFrame, name: str) -> DataFrame:
-    """(doc_id, z, name): compressed texts with what wanted (doc, name) has for them."""
+    """(doc_id, g, z) with the compressed texts, and (_doc, _g, name) of wanted (doc, g, name)."""
 
     def squeeze(batches):
         c = zstandard.ZstdCompressor(level=1)
         for b in batches:
             z = [None if t is None else c.compress(t.encode()) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(z, pa.binary())], names=["doc_id", "z"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("g"), pa.array(z, pa.binary())], names=["doc_id", "g", "z"])
 
-    packed = docs.select("doc_id", "text").mapInArrow(squeeze, "doc_id long, z binary")
-    return packed, wanted.select(F.col("doc").alias("_doc"), name)
+    packed = docs.select("doc_id", "g", "text").mapInArrow(squeeze, "doc_id long, g long, z binary")
+    return packed, wanted.select(F.col("doc").alias("_doc"), F.col("g").alias("_g"), name)
 
 
 def _unpack(z: bytes | None) -> bytes:
@@ -226,39 +228,41 @@ def _unpack(z: bytes | None) -> bytes:
 
 
 def repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, most: int = MOST_CLASSES) -> DataFrame:
-    """(doc, spans array<long>): runs of repeated windows in each text, packed as first window << 8 | windows."""
+    """(doc, g, spans array<long>): runs of repeated windows in each text, packed as first window << 8 | windows."""
     found = occurrences(docs, width, gram)
     counts = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
     found = stored(found.hint("merge").join(counts.hint("merge"), "h"))
-    classes = found.groupBy("h", "s").agg(F.min(F.struct("doc", "place")).alias("first"))
-    classes = stored(classes.select("h", "s", "first.doc", "first.place"))
+    classes = found.groupBy("h", "s").agg(F.min(F.struct("doc", "g", "place")).alias("first"))
+    classes = stored(classes.select("h", "s", "first.doc", "first.g", "first.place"))
     several = classes.groupBy("h").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
     wanted = classes.hint("merge").join(several.hint("merge"), "h")
-    by_doc = wanted.groupBy("doc").agg(F.collect_list(F.struct("h", "s", "place", "k")).alias("w"))
+    by_doc = wanted.groupBy("doc", "g").agg(F.collect_list(F.struct("h", "s", "place", "k")).alias("w"))
     packed, by_doc = _bytes_of(docs, by_doc, "w")
-    joined = packed.join(by_doc, F.col("doc_id") == F.col("_doc")).select("doc_id", "z", "w")
+    joined = packed.join(by_doc, (F.col("doc_id") == F.col("_doc")) & (F.col("g") == F.col("_g"))).select("doc_id", "g", "z", "w")
 
     def cut_out(batches):
         for b in batches:
             out = []
-            for doc, z, ws in zip(*(b.column(c).to_pylist() for c in ("doc_id", "z", "w"))):
+            for doc, g, z, ws in zip(*(b.column(c).to_pylist() for c in ("doc_id", "g", "z", "w"))):
                 text = _unpack(z)
                 for w in ws:
                     a, n = w["place"] >> 16, w["place"] >> 8 & 255
-                    out.append((w["h"], w["s"], doc, a, w["k"], w["place"] & 255, text[a : a + n + width - 1]))
+                    out.append((w["h"], w["s"], doc, g, a, w["k"], w["place"] & 255, text[a : a + n + width - 1]))
                 if len(out) >= 8192:
                     yield _segments(out)
                     out = []
             yield _segments(out)
 
-    segments = stored(joined.mapInArrow(cut_out, "h long, s long, doc long, a long, k long, p long, seg binary"))
+    segments = stored(joined.mapInArrow(cut_out, "h long, s long, doc long, g long, a long, k long, p long, seg binary"))
     collections = (segments.filter(F.col("k") <= most).count() // COLLECTION) + 1
 
     def sort(batch: pa.Table) -> pa.Table:
         segs = batch.column("seg").to_pylist()
         keep = np.flatnonzero(may_share(batch.column("h").to_pylist(), segs, batch.column("p").to_pylist(), width, gram))
         batch, segs = batch.take(keep), [segs[i] for i in keep]
-        x, off = repeated_windows(segs, batch.column("doc").to_numpy(), batch.column("a").to_numpy(), width)
+        place = np.stack([batch.column(c).to_numpy() for c in ("doc", "g")], 1)
+        doc = np.unique(place, axis=0, return_inverse=True)[1].ravel()
+        x, off = repeated_windows(segs, doc, batch.column("a").to_numpy(), width)
         h, s = batch.column("h").to_numpy(), batch.column("s").to_numpy()
         return pa.table({"h": h[x], "s": s[x], "off": off.astype(np.int32)})
 
@@ -268,31 +272,31 @@ def repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, most: int = M
     def windows(batches):
         for b in batches:
             out = []
-            for h, s, doc, a, seg in zip(*(b.column(c).to_pylist() for c in ("h", "s", "doc", "a", "seg"))):
+            for h, s, doc, g, a, seg in zip(*(b.column(c).to_pylist() for c in ("h", "s", "doc", "g", "a", "seg"))):
                 data = np.frombuffer(seg, np.uint8)
                 at = np.arange(len(data) - width + 1)
-                out.append((np.full(len(at), h), np.full(len(at), s), np.full(len(at), doc), a + at, at, Hasher(data).of(at, at + width).view(np.int64), Hasher(data, 0xA24BAED4963EE407).of(at, at + width).view(np.int64)))
+                out.append((np.full(len(at), h), np.full(len(at), s), np.full(len(at), doc), np.full(len(at), g), a + at, at, Hasher(data).of(at, at + width).view(np.int64), Hasher(data, 0xA24BAED4963EE407).of(at, at + width).view(np.int64)))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["h", "s", "doc", "at", "off", "x", "y"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["h", "s", "doc", "g", "at", "off", "x", "y"])
 
-    each = segments.filter(F.col("k") > most).mapInArrow(windows, "h long, s long, doc long, at long, off long, x long, y long")
-    least = each.groupBy("x", "y").agg(F.min(F.struct("doc", "at")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("x", "y", F.col("first.doc").alias("d0"), F.col("first.at").alias("a0"))
-    hot = each.hint("merge").join(least.hint("merge"), ["x", "y"]).filter("doc <> d0 OR at <> a0").select("h", "s", F.col("off").cast("int").alias("off"))
+    each = segments.filter(F.col("k") > most).mapInArrow(windows, "h long, s long, doc long, g long, at long, off long, x long, y long")
+    least = each.groupBy("x", "y").agg(F.min(F.struct("doc", "g", "at")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("x", "y", F.col("first.doc").alias("d0"), F.col("first.g").alias("g0"), F.col("first.at").alias("a0"))
+    hot = each.hint("merge").join(least.hint("merge"), ["x", "y"]).filter("doc <> d0 OR g <> g0 OR at <> a0").select("h", "s", F.col("off").cast("int").alias("off"))
     masks = gone.unionByName(hot).groupBy("h", "s").agg(F.array_sort(F.collect_set("off")).alias("offs"))
-    firsts = classes.join(masks, ["h", "s"], "left").select("h", "s", F.col("doc").alias("d0"), F.col("place").alias("p0"), "offs")
+    firsts = classes.join(masks, ["h", "s"], "left").select("h", "s", F.col("doc").alias("d0"), F.col("g").alias("g0"), F.col("place").alias("p0"), "offs")
     each = found.hint("merge").join(firsts.hint("merge"), ["h", "s"])
-    again = (F.col("doc") != F.col("d0")) | (F.col("place") != F.col("p0"))
+    again = (F.col("doc") != F.col("d0")) | (F.col("g") != F.col("g0")) | (F.col("place") != F.col("p0"))
     start = F.shiftright("place", 16)
     whole = F.array(F.shiftleft(start, 8).bitwiseOR(F.shiftright("place", 8).bitwiseAND(255)))
     some = F.transform("offs", lambda o: F.shiftleft(start + o, 8).bitwiseOR(F.lit(1)))
-    runs = each.select("doc", F.explode(F.when(again, whole).otherwise(F.coalesce(some, F.array()))).alias("run"))
-    return runs.groupBy("doc").agg(F.collect_set("run").alias("spans"))
+    runs = each.select("doc", "g", F.explode(F.when(again, whole).otherwise(F.coalesce(some, F.array()))).alias("run"))
+    return runs.groupBy("doc", "g").agg(F.collect_set("run").alias("spans"))
 
 
 def _segments(rows: list[tuple]) -> pa.RecordBatch:
-    names = ["h", "s", "doc", "a", "k", "p", "seg"]
-    cols = list(zip(*rows)) or [()] * 7
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols[:6]] + [pa.array(cols[6], pa.binary())], names=names)
+    names = ["h", "s", "doc", "g", "a", "k", "p", "seg"]
+    cols = list(zip(*rows)) or [()] * 8
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols[:7]] + [pa.array(cols[7], pa.binary())], names=names)
 
 
 def covered(spans: list[int], width: int = WIDTH) -> np.ndarray:
@@ -307,8 +311,9 @@ def covered(spans: list[int], width: int = WIDTH) -> np.ndarray:
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, most: int = MOST_CLASSES) -> DataFrame:
     """(doc_id, n_bytes, removed array<struct<start, stop>>, kept binary) for each row of docs (doc_id, text)."""
+    docs = docs.select("doc_id", "text", F.xxhash64(text_of()).alias("g"))
     packed, spans = _bytes_of(docs, repeats(docs, width, gram, most), "spans")
-    joined = packed.join(spans, F.col("doc_id") == F.col("_doc"), "left").select("doc_id", "z", "spans")
+    joined = packed.join(spans, (F.col("doc_id") == F.col("_doc")) & (F.col("g") == F.col("_g")), "left").select("doc_id", "z", "spans")
 
     def run(batches):
         for b in batches:
@@ -330,19 +335,3 @@ def query(docs: DataFrame) -> DataFrame:
     out = remove_repeats(docs.select("doc_id", "text"))
     total = F.aggregate("removed", F.lit(0).cast("long"), lambda t, r: t + r["stop"] - r["start"])
     return out.select("doc_id", "n_bytes", total.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
-
-
-def brute_force(rows: list[tuple[int, str | None]], width: int = WIDTH) -> dict[int, tuple[int, int, int, str]]:
-    """The query's result by a table of all windows; for tests."""
-    seen, out = set(), {}
-    for doc, text in sorted(rows, key=lambda r: r[0]):
-        data = (text or "").encode()
-        gone = np.zeros(len(data), bool)
-        for i in range(len(data) - width + 1):
-            w = data[i : i + width]
-            if w in seen:
-                gone[i : i + width] = True
-            seen.add(w)
-        starts = int(np.count_nonzero(np.diff(np.r_[0, gone.astype(np.int8)]) == 1))
-        out[doc] = (len(data), int(gone.sum()), starts, hashlib.sha256(np.frombuffer(data, np.uint8)[~gone].tobytes()).hexdigest())
-    return out
