@@ -335,3 +335,20 @@ def query(docs: DataFrame) -> DataFrame:
     out = remove_repeats(docs.select("doc_id", "text"))
     total = F.aggregate("removed", F.lit(0).cast("long"), lambda t, r: t + r["stop"] - r["start"])
     return out.select("doc_id", "n_bytes", total.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+SQL = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS (SELECT doc_id, i, substr(x, 2 * i + 1, 200) AS k FROM (SELECT doc_id, x, unnest(range(0, len(x) // 2 - 99)) AS i FROM d WHERE len(x) >= 200)),
+again AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS n FROM w) WHERE n > 1),
+marked AS (SELECT doc_id, i, coalesce(i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) > 100, true) AS fresh FROM again),
+numbered AS (SELECT doc_id, i, count(*) FILTER (WHERE fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM marked),
+gone AS (SELECT doc_id, run, min(i) AS a, max(i) + 100 AS e FROM numbered GROUP BY doc_id, run),
+kept AS (SELECT doc_id, a, e, lag(e, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS b FROM gone),
+joined AS (
+  SELECT d.doc_id, any_value(x) AS x, count(a) AS n_spans, CAST(coalesce(sum(e - a), 0) AS BIGINT) AS n_removed, coalesce(max(e), 0) AS last,
+    coalesce(string_agg(substr(x, 2 * b + 1, 2 * (a - b)), '' ORDER BY a), '') AS head
+  FROM d LEFT JOIN kept USING (doc_id) GROUP BY d.doc_id
+)
+SELECT doc_id, len(x) // 2 AS n_bytes, n_removed, n_spans, sha256(unhex(head || substr(x, 2 * last + 1))) AS kept_sha256 FROM joined
+"""
