@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 from .common import dropped, fingerprint, stored, text_of
 
 ORDERS = 3
-#: 2^22 counters: 4 MB whatever the corpus, in blocks of 4096.
-SKETCH_BITS, SKETCH_BLOCK = 22, 4096
+#: 2^24 counters: 16 MB whatever the corpus, in blocks of 16384.
+SKETCH_BITS, SKETCH_BLOCK = 24, 16384
 #: Pairs for each membership of a bucket up to which all pairs are taken at once.
 FEW = 2
 _U = np.uint64
@@ -124,11 +124,11 @@ def sketch(docs: DataFrame, size: int) -> np.ndarray:
     """Document frequencies by hash slot, over all documents. Fixed in size, so it may go to the driver and back."""
 
     def run(batches):
-        counts = np.zeros(1 << SKETCH_BITS, np.int64)
+        counts = np.zeros(1 << SKETCH_BITS, np.int32)
         for b in batches:
             for s in shingle_sets(b.column("text").to_pylist(), size):
                 np.add.at(counts, _slots(s), 1)
-        small = np.minimum(counts, np.iinfo(np.int32).max).astype("<i4").reshape(-1, SKETCH_BLOCK)
+        small = counts.astype("<i4", copy=False).reshape(-1, SKETCH_BLOCK)
         some = np.flatnonzero(small.any(1))
         squeeze = zstandard.ZstdCompressor(level=1).compress  # most counts of one task are below 4
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([squeeze(small[i].tobytes()) for i in some], pa.binary())], names=["block", "counts"])
@@ -220,9 +220,12 @@ def _slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20):
 
 
 def _met(pairs: DataFrame, texts: DataFrame, size: int):
-    """pairs (x, p, ...) with the texts of both, for mapInArrow, and a function that yields (part of a batch, sets of x, sets of p)."""
-    left = pairs.hint("merge").join(texts.select("x", "z").hint("merge"), "x")
-    both = left.hint("merge").join(texts.select(F.col("x").alias("p"), F.col("z").alias("zp")).hint("merge"), "p")
+    """pairs (x, p, ...) with the texts of both, for mapInArrow, and a function that yields (part of a batch, sets of x,
+    sets of p). The texts' columns keep their names in both joins, so that one exchange of them serves both."""
+    of = texts.select(F.col("x").alias("key"), F.col("z").alias("text"))
+    rest = [c for c in pairs.columns if c != "x"]
+    left = pairs.hint("merge").join(of.hint("merge"), F.col("x") == F.col("key")).select("x", *rest, F.col("text").alias("z"))
+    both = left.hint("merge").join(of.hint("merge"), F.col("p") == F.col("key")).select("x", *rest, "z", F.col("text").alias("zp"))
 
     def sets(batches):
         expand = zstandard.ZstdDecompressor().decompress
@@ -276,17 +279,21 @@ def difference_prefix(d: np.ndarray, p: np.ndarray, k: int, group: int, magnitud
 def _against_pivots(pairs: DataFrame, texts: DataFrame, counts, size: int, percent: int) -> DataFrame:
     """pairs (x, p, g, ...) with common, the shared shingles, and tokens, the prefix of the difference; g is the group's size."""
     both, sets = _met(pairs, texts, size)
-    kept = [f for f in pairs.columns if f not in ("x", "p", "g")]
+    kept = [f for f in pairs.columns if f not in ("x", "p")]
 
     def run(batches):
         rarity = counts.value
         for part, xs, ps in sets(batches):
             common, tokens = [], []
             for x, p, g in zip(xs, ps, part.column("g").to_pylist()):
+                if g == 1 and not _meet(x, p, rarity, percent):  # only whether they are similar matters
+                    common.append(0)
+                    tokens.append(np.empty(0, np.int64))
+                    continue
                 i = _common(x, p)
                 s, union = len(x) + len(p), len(x) + len(p) - i
                 k = 0
-                if 2 * i >= union:
+                if g > 1 and 2 * i >= union:
                     a = s - 2 * i
                     if 100 * i >= percent * union:  # what x must share with the difference of any y that is not similar to p
                         need = a * percent // (100 + percent) + 1
@@ -303,7 +310,7 @@ def _against_pivots(pairs: DataFrame, texts: DataFrame, counts, size: int, perce
             yield pa.RecordBatch.from_arrays(cols, names=["x", "p", *kept, "common", "tokens"])
 
     types = ", ".join(f"{f} {pairs.schema[f].dataType.simpleString()}" for f in kept)
-    return both.select("x", "p", "g", "z", "zp", *kept).mapInArrow(run, f"x long, p long, {types}, common int, tokens array<long>")
+    return both.select("x", "p", "z", "zp", *kept).mapInArrow(run, f"x long, p long, {types}, common int, tokens array<long>")
 
 
 def _union(batches):
@@ -373,7 +380,7 @@ def join(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
     of id and text, v and w name the class; c names the component, null for classes that meet no other."""
     g1, g2 = row_key()
     docs = docs.select("doc_id", g1.alias("g1"), g2.alias("g2"), "text")
-    counts = docs.sparkSession.sparkContext.broadcast(sketch(docs, size))  # 4 MB, see SKETCH_BITS
+    counts = docs.sparkSession.sparkContext.broadcast(sketch(docs, size))  # 16 MB, see SKETCH_BITS
     rows = stored(classes(docs, counts, size, percent))
     # 64 bits of a class do here: classes that shared them would only be candidates too often
     tokens = rows.select("v", "n", F.posexplode("p").alias("at", "b")).select("b", "v", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("at")).alias("place"))
@@ -433,17 +440,16 @@ def _turn(at: DataFrame, texts: DataFrame, counts, size: int, percent: int) -> t
     groups = pairs.groupBy("p").agg(F.count(F.lit(1)).alias("g"))
     pairs = stored(pairs.hint("merge").join(groups.hint("merge"), "p"))
     fits = lambda q: q * F.greatest("n", "np") <= 100 * F.least("n", "np")
-    alone = pairs.filter((F.col("g") == 1) & fits(percent)).select("x", "p")
     some = pairs.filter("g > 1")
-    found = stored(_against_pivots(some.filter(fits(50)), texts, counts, size, percent))
+    found = stored(_against_pivots(pairs.filter(F.when(F.col("g") == 1, fits(percent)).otherwise(fits(50))), texts, counts, size, percent))
     union = F.col("n") + F.col("np") - F.col("common")
-    links = found.filter(100 * F.col("common") >= percent * union).select("x", "p")
-    links = stored(links.unionByName(verified(alone, texts, counts, size, percent)))
-    halves = found.filter(2 * F.col("common") >= union)
+    links = stored(found.filter(100 * F.col("common") >= percent * union).select("x", "p"))
+    met = found.filter("g > 1")
+    halves = met.filter(2 * F.col("common") >= union)
     open_groups = halves.filter(100 * F.col("common") < percent * union).select("p").distinct()
     fresh = halves.hint("merge").join(open_groups.hint("merge"), "p", "left_semi").select("x", "n", "s", "p", (union - F.col("common")).alias("a"), F.posexplode("tokens").alias("at", "token"))
     fresh = fresh.select(F.xxhash64("p", "token").alias("b"), "x", "n", "s", "a", "at")
-    stays = found.filter(100 * F.col("common") < (150 - percent) * union).select("x", "n", "s", "where")
+    stays = met.filter(100 * F.col("common") < (150 - percent) * union).select("x", "n", "s", "where")
     stays = stays.unionByName(some.filter(~fits(50)).select("x", "n", "s", "where"))
     stays = stays.select("x", "n", "s", F.inline("where")).select("b", "x", "n", "s", "a", "at")
     state = stored(fresh.unionByName(stays))
