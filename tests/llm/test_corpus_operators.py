@@ -153,9 +153,9 @@ def near_copies(rng, n):
     return out
 
 
-@pytest.mark.parametrize("rounds", [0, 6])
-def test_components(spark, monkeypatch, rounds):
-    monkeypatch.setattr(shingle_join, "PIVOT_ROUNDS", rounds)
+@pytest.mark.parametrize("few", [0, 2, 1 << 40])  # turns as long as they halve what is left, the default, and none
+def test_components(spark, monkeypatch, few):
+    monkeypatch.setattr(shingle_join, "FEW", few)
     rows = near_copies(random.Random(3), 150) + [(200 + i, t) for i, (_, t) in enumerate(EDGE)]
     got = sorted(tuple(r) for r in shingle_join.query(docs(spark, rows)).collect())
     assert got == sorted(components(rows)) and len({c for _, _, c in got}) < len(rows)
