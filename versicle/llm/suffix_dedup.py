@@ -229,8 +229,10 @@ def _unpack(z: bytes | None) -> bytes:
 
 def repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, most: int = MOST_CLASSES) -> DataFrame:
     """(doc, g, spans array<long>): runs of repeated windows in each text, packed as first window << 8 | windows."""
-    found = occurrences(docs, width, gram)
-    counts = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
+    found = occurrences(docs, width, gram).repartition("h")
+    # a value of all columns, so that none is pruned before the exchange and the count reads the one the join reads
+    rest = F.bit_xor(F.xxhash64("s", "doc", "g", "place")).alias("rest")
+    counts = found.groupBy("h").agg(F.count(F.lit(1)).alias("n"), rest).filter("n > 1 AND rest IS NOT NULL").select("h")
     found = stored(found.hint("merge").join(counts.hint("merge"), "h"))
     classes = found.groupBy("h", "s").agg(F.min(F.struct("doc", "g", "place")).alias("first"))
     classes = stored(classes.select("h", "s", "first.doc", "first.g", "first.place"))
