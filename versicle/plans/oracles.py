@@ -155,4 +155,28 @@ SELECT a.user_id, a.block_xpath, coalesce(b.n, 0) AS n FROM a LEFT JOIN b ON a.u
     "paths": r"SELECT page_id, regexp_extract(url, '([^/\\]*)$', 1) AS basename, regexp_replace(regexp_extract(url, '([^/\\]*)$', 1), '[^A-Za-z0-9_-]', '_', 'g') AS slug, trim(split_part(url || '#part', '#', 1)) AS path FROM pages",
     "total_chars": f"WITH {_SENTENCES} SELECT lang, count(*) AS n_sentences, count(DISTINCT doc_id) AS n_chapters, CAST(sum(char_end - char_start) AS BIGINT) AS n_chars FROM s GROUP BY lang",
     "previews": f"WITH {_SENTENCES} SELECT doc_id, string_agg(text, ' ' ORDER BY pos) AS preview FROM s WHERE pos < 3 GROUP BY doc_id",
+    "readable_durations": f"""WITH {_EVENTS}
+SELECT event_id, CASE WHEN start_ms = 0 THEN '< 1ms' WHEN start_ms < 60 THEN printf('%d.00s', start_ms) WHEN start_ms < 3600 THEN printf('%dm %d.0s', start_ms // 60, start_ms % 60)
+  ELSE printf('%dh %dm %ds', start_ms // 3600, start_ms // 60 % 60, start_ms % 60) END AS text FROM tl""",
+    "playlists": f"""WITH {_EVENTS}, c AS (
+  SELECT user_id, event_id, pos, CASE WHEN pos = 1 THEN 0 ELSE greatest(start_ms, lag(end_ms) OVER w) END AS a, greatest(end_ms, coalesce(lead(start_ms) OVER w, end_ms)) AS b
+  FROM tl WINDOW w AS (PARTITION BY user_id ORDER BY pos))
+SELECT user_id, '<?xml version="1.0" encoding="utf-8"?>' || chr(10) || '<smil xmlns="http://www.w3.org/ns/SMIL" xmlns:epub="http://www.idpf.org/2007/ops" version="3.0"><body><seq epub:textref="text/a&amp;b.xhtml">' || chr(10)
+  || string_agg(printf('<par id="par_%04d"><text src="text/a&amp;b.xhtml#mo_s_%04d"/><audio src="audio/a.mp3" clipBegin="%d.%03ds" clipEnd="%d.%03ds"/></par>', pos, event_id, a // 1000, a % 1000, b // 1000, b % 1000), chr(10) ORDER BY pos)
+  || chr(10) || '</seq></body></smil>' || chr(10) AS smil FROM c GROUP BY user_id""",
+    "wrapped_segments": f"""WITH {_SENTENCES}, g AS (
+  SELECT doc_id, generate_subscripts(ls, 1) - 1 AS seg_pos, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)
+), z AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY seg_pos) AS upto FROM g),
+y AS (SELECT doc_id, seg_pos, line, CAST(upto - length(line) - 1 AS BIGINT) AS a, CAST(upto - 1 AS BIGINT) AS b FROM z),
+o AS (SELECT y.doc_id, seg_pos, line, pos, greatest(a, char_start) - a AS f, least(b, char_end) - a AS t, row_number() OVER (PARTITION BY y.doc_id, pos ORDER BY seg_pos) AS nth
+  FROM y JOIN s ON y.doc_id = s.doc_id AND greatest(a, char_start) < least(b, char_end)),
+q AS (SELECT *, coalesce(lag(t) OVER (PARTITION BY doc_id, seg_pos ORDER BY f), 0) AS u FROM o),
+r AS (SELECT doc_id, seg_pos, max(t) AS t, string_agg(substr(line, u + 1, f - u) || CASE WHEN nth = 1 THEN '<span id="s' || pos || '">' ELSE '<span class="mo-continue">' END
+  || substr(line, f + 1, t - f) || '</span>', '' ORDER BY f) AS made FROM q GROUP BY ALL)
+SELECT y.doc_id, y.seg_pos, coalesce(made || substr(line, r.t + 1), line) AS markup FROM y LEFT JOIN r ON y.doc_id = r.doc_id AND y.seg_pos = r.seg_pos""",
+    "chapter_titles": r"""WITH t AS (SELECT page_id, html, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS a, regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1) AS b FROM pages)
+SELECT page_id, trim(replace(replace(replace(replace(CASE WHEN trim(a) <> '' THEN a ELSE b END, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&')) AS title FROM t""",
+    "title_numbers": """WITH p AS (SELECT p_partkey, p_partkey % 6 + 1 AS h, p_partkey // 6 % 8 + 1 AS n FROM part)
+SELECT p_partkey, ['Ch.', 'Chapter', 'PT', 'Bk.', '', 'Scene'][h] || ' ' || ['Twenty-One', 'XIV', '3', 'first', '2nd', 'iii', 'Forty Two', 'x'][n] AS title,
+  ltrim(['chapter', 'chapter', 'part', 'book', '', 'scene'][h] || ' ' || ['21', '14', '3', '1', '2', '3', '42', '10'][n]) AS normal FROM p""",
 }
