@@ -30,4 +30,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": quality_rules.SQL, "op5_decontamination": decontamination.SQL, "op6_shingle_join": shingle_join.SQL, "op7_suffix_dedup": suffix_dedup.SQL, "op9_line_dedup": line_dedup.SQL}
+    return {"op1_secret_scan": secret_scan.SQL, "op2_quality_rules": quality_rules.SQL, "op5_decontamination": decontamination.SQL, "op6_shingle_join": shingle_join.SQL, "op7_suffix_dedup": suffix_dedup.SQL, "op9_line_dedup": line_dedup.SQL}

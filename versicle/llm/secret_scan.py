@@ -101,3 +101,27 @@ def query(docs: DataFrame) -> DataFrame:
         "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
         F.sha2(listed(F.filter("spans", lambda s: s["kind"] < 3)).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"),
     )
+
+
+def _kind_sql(k: int) -> str:
+    kind, role, pattern, least, weak, _ = KINDS[k]
+    tiled = "'" + rf"(?s)(.*?)(?:{pattern}|\z)".replace("'", "''") + "'"
+    mixed = " AND regexp_matches(v, '[A-Z]') AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[0-9]')" if kind == "opaque" else ""
+    return f"""SELECT doc_id, {k} AS k, '{kind}' AS kind, '{role}' AS role, {str(weak).lower()} AS weak, upto - length(m) AS start, upto AS stop FROM (
+  SELECT *, CAST(sum(length(w)) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS upto FROM (
+    SELECT doc_id, unnest(regexp_extract_all(text, {tiled}, 0)) AS w, unnest(regexp_extract_all(text, {tiled}, 2)) AS m, unnest(regexp_extract_all(text, {tiled}, 3)) AS v,
+      generate_subscripts(regexp_extract_all(text, {tiled}, 0), 1) AS i FROM documents WHERE text IS NOT NULL)) WHERE length(v) >= {least}{mixed}"""
+
+
+SQL = f"""WITH f AS ({" UNION ALL ".join(_kind_sql(k) for k in range(len(KINDS)))}),
+s AS (
+  SELECT * FROM f WHERE NOT weak
+  UNION ALL SELECT * FROM f WHERE weak
+    AND EXISTS (SELECT 1 FROM f p WHERE p.doc_id = f.doc_id AND p.role <> f.role AND greatest(f.start, p.start) - least(f.stop, p.stop) BETWEEN 0 AND {SCOPE})
+    AND NOT EXISTS (SELECT 1 FROM f p WHERE p.doc_id = f.doc_id AND NOT p.weak AND greatest(f.start, p.start) < least(f.stop, p.stop))
+), a AS (
+  SELECT doc_id, count(*) FILTER (k = 0) AS n0, count(*) FILTER (k = 1) AS n1, count(*) FILTER (k = 2) AS n2,
+    string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, k, stop) FILTER (NOT weak) AS base,
+    string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, k, stop) AS spans FROM s GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents d LEFT JOIN a ON d.doc_id = a.doc_id"""
