@@ -64,6 +64,17 @@ def basename(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/\\]*)\z", 1)
 
 
+def relative(path: Column, folder: Column) -> Column:
+    """path as seen from folder, both from one root; '' and '.' are the root."""
+    parts = lambda c: F.filter(F.split(c, "/"), lambda x: (x != "") & (x != "."))
+    a, b = parts(folder), parts(path)
+    same = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))
+    differs = F.array_position(same, False).cast("int")
+    shared = F.when(differs == 0, F.size(same)).otherwise(differs - 1)
+    out = F.concat(F.repeat(F.lit("../"), F.size(a) - shared), F.array_join(F.slice(b, shared + 1, F.greatest(F.size(b), F.lit(1))), "/"))
+    return F.when(out == "", ".").otherwise(F.regexp_replace(out, r"(?<=\.\.)/\z", ""))
+
+
 def suffix(path: Column) -> Column:
     """Last extension with its dot, lower case, or ''."""
     return F.lower(F.regexp_extract(basename(path), r"[^.](\.[^.]+)\z", 1))

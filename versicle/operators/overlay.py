@@ -153,7 +153,7 @@ def active_style(css: Column, name: str = "-epub-media-overlay-active", color: s
     """css with a rule for the active class, unless it has one; a rule alone where there is no css."""
     css = F.coalesce(css, F.lit(""))
     rule = f"\n\n.{name} {{\n  background-color: {color};\n}}\n"
-    return F.when(css.contains(name), css).otherwise(F.concat(F.rtrim(css), F.lit(rule)))
+    return F.when(css.contains(name), css).when(F.trim(css) == "", rule.lstrip()).otherwise(F.concat(F.regexp_replace(css, r"\s+\z", ""), F.lit(rule)))
 
 
 def nav_document(entries: list[tuple[str, str]]) -> str:

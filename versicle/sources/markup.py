@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Elements that hold sentences of their own, and those whose text does not count.
 BLOCKS = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote", "pre", "dt", "dd", "figcaption", "caption", "div", "address", "section", "article", "aside"}
 SKIPPED = {"script", "style", "nav", "head"}
 EMPTY = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
@@ -32,8 +33,8 @@ class Node:
 
 
 class Tree(HTMLParser):
-    def __init__(self, markup: str):
-        super().__init__(convert_charrefs=True)
+    def __init__(self, markup: str, convert_charrefs: bool = True):
+        super().__init__(convert_charrefs=convert_charrefs)
         self.root = self.at = Node("", {}, None)
         self.feed(markup)
         self.close()
@@ -70,16 +71,19 @@ def walk(root: Node) -> Iterator[Node]:
         stack.extend(c for c in reversed(node.children) if isinstance(c, Node))
 
 
-def all_text(node: Node, stop=frozenset()) -> str:
-    """Text of a node and what is in it, without elements of stop (what follows them belongs to the node)."""
-    out, stack = [], list(reversed(node.children))
+def runs(node: Node, stop=frozenset()) -> Iterator[str]:
+    """Runs of text of a node and what is in it, without elements of stop (what follows them belongs to the node)."""
+    stack = list(reversed(node.children))
     while stack:
         c = stack.pop()
         if isinstance(c, str):
-            out.append(c)
+            yield c
         elif c.tag not in stop:
             stack.extend(reversed(c.children))
-    return "".join(out)
+
+
+def all_text(node: Node, stop=frozenset()) -> str:
+    return "".join(runs(node, stop))
 
 
 def blocks_of(markup: str | None) -> list[tuple[str, str, str]]:
