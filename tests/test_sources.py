@@ -8,14 +8,16 @@ from pyspark.sql import functions as F
 from versicle.sources import books, markup, timelines
 
 OPF = """<package xmlns="http://www.idpf.org/2007/opf"><manifest><item id="c1" href="text/one.xhtml" media-type="application/xhtml+xml"/>
-<item id="c2" href="text/two.xhtml" media-type="application/xhtml+xml"/><item id="css" href="a.css" media-type="text/css"/></manifest>
+<item id="c2" href="text/two.xhtml" media-type="application/xhtml+xml"/><item id="css" href="a.css" media-type="text/css"/>
+<item id="toc" href="toc.ncx" media-type="application/x-dtbncx+xml"/><item id="bad" href="broken.ncx" media-type="application/x-dtbncx+xml"/>
+<item id="contents" href="contents.xhtml" media-type="application/xhtml+xml" properties="nav"/></manifest>
 <spine><itemref idref="c2"/><itemref idref="none"/><itemref idref="css"/><itemref idref="c1"/></spine>
 <guide><reference type="cover" href="text/two.xhtml"/></guide></package>"""
 NCX = """<ncx xmlns="http://www.daisy.org/z3986/2005/ncx/"><navMap><navPoint><navLabel><text>Part</text></navLabel><content src="text/two.xhtml"/>
 <navPoint><navLabel><text>One</text></navLabel><content src="text/one.xhtml#x"/></navPoint></navPoint></navMap></ncx>"""
 FILES = {
     "META-INF/container.xml": '<container xmlns="urn:oasis:names:tc:opendocument:xmlns:container"><rootfiles><rootfile full-path="EPUB/p.opf"/></rootfiles></container>',
-    "EPUB/p.opf": OPF, "EPUB/toc.ncx": NCX, "EPUB/nav.xhtml": "<html><body><nav><a href='text/one.xhtml'>Chapter One</a></nav></body></html>", "EPUB/broken.ncx": "<ncx",
+    "EPUB/p.opf": OPF, "EPUB/toc.ncx": NCX, "EPUB/contents.xhtml": "<html><body><nav><a href='text/one.xhtml' epub:type='bodymatter'>Chapter One</a></nav></body></html>", "EPUB/broken.ncx": "<ncx",
     "EPUB/text/one.xhtml": "<html><body><h1>Head</h1><p>Mr. Fox ran. <em>Then</em> he sat!</p></body></html>",
     "EPUB/text/two.xhtml": "<html><head><title>Two</title></head><body><p>Only one</p></body></html>",
 }
@@ -33,7 +35,7 @@ def test_book(spark):
     df = spark.createDataFrame([("b", container(FILES))], "book_id string, content binary")
     chapters, sentences = books.parse_books(df)
     got = [(r["id"], r["title"], r["guide_type"], r["path"]) for r in chapters.orderBy("spine_pos").collect()]
-    assert got == [("c2", "Part", "cover", "EPUB/text/two.xhtml"), ("c1", "Chapter One", None, "EPUB/text/one.xhtml")]
+    assert got == [("c2", "Part", "cover", "EPUB/text/two.xhtml"), ("c1", "Chapter One", "bodymatter", "EPUB/text/one.xhtml")]
     s = sentences.orderBy("element_id").collect()
     assert [(r["element_id"], r["text"]) for r in s] == [("mo_s_0001", "Only one"), ("mo_s_0002", "Head"), ("mo_s_0003", "Mr. Fox ran."), ("mo_s_0004", "Then he sat!")]
     assert all(r["block_text"][r["char_start"] : r["char_end"]] == r["text"] for r in s)
@@ -45,6 +47,29 @@ def test_unsafe_paths(name):
         books.entries_of(container({name: "x"}))
 
 
+@pytest.mark.parametrize(
+    "change, why",
+    [({"META-INF/container.xml": None}, "no container descriptor"), ({"EPUB/p.opf": None}, "no package document"), ({"META-INF/container.xml": "<a/>"}, "names no package"), ({"EPUB/p.opf": "<a"}, "cannot be read")],
+)
+def test_package_faults(change, why):
+    files = {k: v.encode() for k, v in {**FILES, **change}.items() if v is not None}
+    with pytest.raises(books.BookError, match=why):
+        books.spine_of(files)
+
+
+def test_media_types_in_any_case():
+    opf = OPF.replace("one.xhtml", "one.x").replace("application/xhtml+xml", "Application/XHTML+xml")
+    assert [i for i, *_ in books.spine_of({**{k: v.encode() for k, v in FILES.items()}, "EPUB/p.opf": opf.encode()})] == ["c2", "c1"]
+
+
+def test_faulty_containers_beside_good_ones(spark):
+    rows = [("good", container({"a": "1", "b/": "", "c": "22"})), ("bad", b"no zip"), ("unsafe", container({"a": "1", "../x": "2"}))]
+    got = books.unpack(spark.createDataFrame(rows, "book_id string, content binary"), faults=True).orderBy("book_id", "path").collect()
+    assert [(r["book_id"], r["path"], r["content"] and bytes(r["content"]), (r["fault"] or "")[:6]) for r in got] == [
+        ("bad", None, None, "not a "), ("good", "a", b"1", ""), ("good", "c", b"22", ""), ("unsafe", None, None, "unsafe"),
+    ]
+
+
 def test_not_a_container():
     with pytest.raises(books.BookError):
         books.entries_of(b"no zip")

@@ -4,6 +4,7 @@ import io
 import posixpath
 import re
 import zipfile
+from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -31,26 +32,47 @@ def unsafe(path: str) -> bool:
     return p.startswith("/") or p[1:2] == ":" or ".." in p.split("/")
 
 
-def entries_of(content: bytes) -> list[tuple[str, bytes]]:
+def entries_of(content: bytes) -> Iterator[tuple[str, bytes]]:
+    """Entries of a container, each read when it is asked for; all paths are checked before."""
     try:
-        with zipfile.ZipFile(io.BytesIO(content)) as z:
-            if bad := next((n for n in z.namelist() if unsafe(n)), None):
-                raise UnsafePathError(f"unsafe path in the container: {bad}")
-            return [(n, z.read(n)) for n in z.namelist() if not n.endswith("/")]
+        z = zipfile.ZipFile(io.BytesIO(content))
     except zipfile.BadZipFile as e:
         raise BookError("not a container") from e
+    if bad := next((n for n in z.namelist() if unsafe(n)), None):
+        raise UnsafePathError(f"unsafe path in the container: {bad}")
+    return ((n, z.read(n)) for n in z.namelist() if not n.endswith("/"))
 
 
-def unpack(containers: DataFrame, key: str = "book_id", content: str = "content") -> DataFrame:
-    """(key, path, content) of every entry; a container with an unsafe path fails the job."""
+#: Bytes of entries that a worker gathers before it hands them on.
+BATCH = 32 << 20
+
+
+def unpack(containers: DataFrame, key: str = "book_id", content: str = "content", faults: bool = False) -> DataFrame:
+    """(key, path, content) of every entry. A container that cannot be opened or has an unsafe path fails the job; with
+    `faults` it gives one row with the reason in a further column fault, and the others are unpacked."""
     kind = dict(containers.dtypes)[key]
+    names = [key, "path", "content", "fault"][: 3 + faults]
+
+    def rows(k, c):
+        try:
+            yield from ((k, n, e, None) for n, e in entries_of(c))
+        except BookError as e:
+            if not faults:
+                raise
+            yield k, None, None, str(e)
 
     def run(frames):
         for f in frames:
-            for k, c in zip(f[key], f[content]):
-                yield pd.DataFrame([(k, *e) for e in entries_of(c)], columns=[key, "path", "content"])
+            out, size = [], 0
+            for row in (r for k, c in zip(f[key], f[content]) for r in rows(k, c)):
+                out.append(row[: len(names)])
+                size += len(row[2] or b"")
+                if size > BATCH:
+                    yield pd.DataFrame(out, columns=names)
+                    out, size = [], 0
+            yield pd.DataFrame(out, columns=names)
 
-    return containers.select(key, content).mapInPandas(run, f"{key} {kind}, path string, content binary")
+    return containers.select(key, content).mapInPandas(run, f"{key} {kind}, path string, content binary" + ", fault string" * faults)
 
 
 def read_books(spark: SparkSession, path: str) -> DataFrame:
@@ -66,20 +88,34 @@ def _find(root, name: str):
     return [e for e in root.iter() if _local(e.tag) == name]
 
 
+def package_of(files: dict[str, bytes]) -> tuple[str, ElementTree.Element]:
+    """(path, root) of the package document that the container's descriptor names first."""
+    if "META-INF/container.xml" not in files:
+        raise BookError("no container descriptor")
+    try:
+        named = [e.get("full-path") for e in _find(ElementTree.fromstring(files["META-INF/container.xml"]), "rootfile") if e.get("full-path")]
+        if not named or named[0] not in files:
+            raise BookError(f"no package document {named[0]}" if named else "the descriptor names no package document")
+        return named[0], ElementTree.fromstring(files[named[0]])
+    except ElementTree.ParseError as e:
+        raise BookError(f"descriptor or package document cannot be read: {e}") from e
+
+
+def _at(package: str, href: str) -> str:
+    return posixpath.normpath(posixpath.join(posixpath.dirname(package), href))
+
+
 def spine_of(files: dict[str, bytes]) -> list[tuple[str, str, str, str]]:
     """(id, href, media type, path) of the text items in reading order. Item references without a manifest item are
-    left out; of items with one id the last counts."""
-    package = package_path(files)
-    if package is None:
-        raise BookError("no package document")
-    root = ElementTree.fromstring(files[package])
-    items = {e.get("id"): (e.get("href") or "", e.get("media-type") or "") for e in _find(root, "item")}
+    left out, items without id or href are none; of items with one id the last counts."""
+    package, root = package_of(files)
+    items = {e.get("id"): (e.get("href"), e.get("media-type") or "") for e in _find(root, "item") if e.get("id") and e.get("href")}
     out = []
     for ref in (e.get("idref") for e in _find(root, "itemref")):
         if ref in items:
             href, kind = items[ref]
-            if kind in TEXT_TYPES or href.lower().endswith((".xhtml", ".html")):
-                out.append((ref, href, kind, posixpath.normpath(posixpath.join(posixpath.dirname(package), href))))
+            if kind.lower() in TEXT_TYPES or href.lower().endswith((".xhtml", ".html")):
+                out.append((ref, href, kind, _at(package, href)))
     return out
 
 
@@ -92,33 +128,47 @@ def package_path(files: dict[str, bytes]) -> str | None:
     return min((p for p in files if p.endswith(".opf")), default=None, key=lambda p: (p.count("/"), p))
 
 
-def navigation_of(files: dict[str, bytes]) -> list[tuple[str, str, str, int]]:
-    """(key, label, 'toc' or 'guide', rank): what is named later, with a higher rank, counts. The guide comes first,
-    then the NCX, then navigation documents; each target stands under its path and under its base name. A nested
-    point has its own label and target only. Files that can't be read are passed over."""
-    out: list[tuple[str, str, str, int]] = []
+#: What tells a manifest item (media type, id, href, properties, all in lower case) to be a table of contents.
+IS_NCX = lambda kind, i, href, words: "ncx" in kind or i == "ncx" or href.endswith(".ncx")
+IS_NAV = lambda kind, i, href, words: "nav" in words or i == "nav" or href.endswith("nav.xhtml")
 
-    def put(href: str | None, label: str, kind: str) -> None:
-        target = (href or "").split("#")[0].strip()
-        if target and label.strip():
-            out.extend((k, label.strip(), kind, len(out) + i) for i, k in enumerate((target, posixpath.basename(target))))
 
-    for path, content in sorted(files.items(), key=lambda f: (not f[0].endswith(".opf"), not f[0].endswith(".ncx"), f[0])):
+def contents_of(files: dict[str, bytes]) -> list[tuple[str, str]]:
+    """('ncx' or 'nav', path) of the tables of contents that the manifest has: all NCX first."""
+    package, root = package_of(files)
+    facts = [(e.get("href"), [(e.get(a) or "").lower() for a in ("media-type", "id", "href", "properties")]) for e in _find(root, "item") if e.get("href")]
+    return [(name, _at(package, href)) for name, test in (("ncx", IS_NCX), ("nav", IS_NAV)) for href, fact in facts if test(*fact)]
+
+
+def guide_of(files: dict[str, bytes]) -> list[tuple[str, str, str]]:
+    return [x for g in _find(package_of(files)[1], "guide") for e in g if _local(e.tag) == "reference" for x in _named(e.get("href"), e.get("type") or "", "guide")]
+
+
+def _named(href: str | None, label: str, kind: str) -> list[tuple[str, str, str]]:
+    """(target, label, kind) under a target's path and under its base name."""
+    target = (href or "").split("#")[0].strip()
+    return [(t, label.strip(), kind) for t in (target, posixpath.basename(target))] if target and label.strip() else []
+
+
+def labels_of(kind: str, content: bytes) -> list[tuple[str, str, str]]:
+    """(target, label, 'toc' or 'guide') of one table of contents, in order. A nested point has its own label and target
+    only; links of a navigation document may bear a type. What can't be read has none."""
+    out = []
+    if kind == "ncx":
         try:
-            if path.endswith(".opf"):
-                for e in _find(ElementTree.fromstring(content), "reference"):
-                    put(e.get("href"), e.get("type") or "", "guide")
-            elif path.endswith(".ncx"):
-                for point in _find(ElementTree.fromstring(content), "navPoint"):
-                    own = {_local(c.tag): c for c in point}
-                    label = " ".join("".join(own["navLabel"].itertext()).split()) if "navLabel" in own else ""
-                    put(own["content"].get("src") if "content" in own else None, label, "toc")
-            elif re.search(r"nav[^/]*\.x?html$", path):
-                for node in markup.walk(markup.Tree(content.decode("utf-8", "replace")).root):
-                    if node.tag == "a" and any(n.tag == "nav" for n in _above(node)):
-                        put(node.attrs.get("href"), " ".join(markup.all_text(node).split()), "toc")
+            points = _find(ElementTree.fromstring(content), "navPoint")
         except ElementTree.ParseError:
-            continue
+            return []
+        for point in points:
+            own = {_local(c.tag): c for c in point}
+            label = " ".join("".join(own["navLabel"].itertext()).split()) if "navLabel" in own else ""
+            out += _named(own["content"].get("src") if "content" in own else None, label, "toc")
+        return out
+    for node in markup.walk(markup.Tree(content.decode("utf-8", "replace")).root):
+        if node.tag == "a" and any(n.tag == "nav" for n in _above(node)):
+            href = node.attrs.get("href")
+            out += _named(href, " ".join(markup.all_text(node).split()), "toc")
+            out += _named(href, node.attrs.get("epub:type") or node.attrs.get("type") or "", "guide")
     return out
 
 
@@ -129,20 +179,33 @@ def _above(node):
 
 
 def parse_packages(entries: DataFrame, key: str = "book_id") -> tuple[DataFrame, DataFrame]:
-    """(spine, nav) of each book from its entries. Only package and navigation documents are gathered by book."""
+    """(spine, nav) of each book from its entries. nav has (key, target, label, kind, seq): of what is named more than
+    once the greatest seq counts; the guide comes first, then NCX, then navigation documents, as the manifest has them.
+    Only package documents are gathered by book; tables of contents are read where they are."""
     kind = dict(entries.dtypes)[key]
-    small = entries.filter(F.lower("path").rlike(r"(container\.xml|\.opf|\.ncx|nav[^/]*\.x?html)\z"))
+    small = entries.filter((F.col("path") == "META-INF/container.xml") | F.lower("path").endswith(".opf"))
 
     def spine(k, f: pd.DataFrame) -> pd.DataFrame:
         rows = [(k[0], i, *r) for i, r in enumerate(spine_of(dict(zip(f["path"], f["content"]))))]
         return pd.DataFrame(rows, columns=[key, "spine_pos", "id", "href", "media_type", "path"])
 
-    def nav(k, f: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(k[0], *r) for r in navigation_of(dict(zip(f["path"], f["content"])))], columns=[key, "target", "label", "kind", "seq"])
+    def named(k, f: pd.DataFrame) -> pd.DataFrame:
+        files = dict(zip(f["path"], f["content"]))
+        rows = [(k[0], None, None, *g, i) for i, g in enumerate(guide_of(files))]
+        rows += [(k[0], path, how, None, None, None, (i + 1) << 32) for i, (how, path) in enumerate(contents_of(files))]
+        return pd.DataFrame(rows, columns=[key, "path", "how", "target", "label", "kind", "seq"])
+
+    def labels(frames):
+        for f in frames:
+            rows = [(k, *r, seq + i) for k, how, content, seq in zip(f[key], f["how"], f["content"], f["seq"]) for i, r in enumerate(labels_of(how, content))]
+            yield pd.DataFrame(rows, columns=[key, "target", "label", "kind", "seq"])
 
+    columns = f"{key} {kind}, target string, label string, kind string, seq long"
+    found = small.groupBy(key).applyInPandas(named, f"{key} {kind}, path string, how string, target string, label string, kind string, seq long")
+    tables = found.filter("how IS NOT NULL").select(key, "path", "how", "seq").join(entries.select(key, "path", "content"), [key, "path"])
     return (
         small.groupBy(key).applyInPandas(spine, f"{key} {kind}, spine_pos int, id string, href string, media_type string, path string"),
-        small.groupBy(key).applyInPandas(nav, f"{key} {kind}, target string, label string, kind string, seq int"),
+        found.filter("how IS NULL").select(key, "target", "label", "kind", "seq").unionByName(tables.select(key, "how", "content", "seq").mapInPandas(labels, columns)),
     )
 
 
@@ -150,7 +213,7 @@ def join_manifest(itemrefs: DataFrame, manifest: DataFrame, keys: list[str]) ->
     """Reading order joined to the manifest (keys, item_pos, id, href, media_type); of equal ids the last counts."""
     last = manifest.groupBy(*keys, "id").agg(F.max_by(F.struct("href", "media_type"), "item_pos").alias("m")).select(*keys, "id", "m.*")
     met = itemrefs.withColumnRenamed("idref", "id").join(last, [*keys, "id"])
-    return met.filter(F.col("media_type").isin(*TEXT_TYPES) | F.lower("href").rlike(r"\.x?html\z"))
+    return met.filter(F.lower("media_type").isin(*TEXT_TYPES) | F.lower("href").rlike(r"\.x?html\z"))
 
 
 def labelled(spine: DataFrame, nav: DataFrame, key: str = "book_id") -> DataFrame:
