@@ -1,12 +1,12 @@
 """Registered queries over the driver's tables, and their SQL. The tables stand in for books: documents by source are
 chapters of a book, events by user a timeline, pages its markup, conversations its audio units."""
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import clock, text, titles
 from ..operators import mapping, overlay, timeline, wordmatch
-from ..sources import markup, timelines
+from ..sources import books, markup, packages, rewrite, timelines
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -329,12 +329,91 @@ def previews(spark, sf_dir):
     return s.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), " ").alias("preview"))
 
 
+def _pick(values: list[str | None], at) -> Column:
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (at % len(values) + 1).cast("int"))
+
+
+def rewritten_documents(spark, sf_dir):
+    """Documents as one paragraph each, with a span around every sentence."""
+    esc = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    d = _t(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("<p>"), esc, F.lit("</p>")).alias("markup"))
+    return rewrite.rewrite(d, _ranges(spark, sf_dir).withColumn("block_xpath", F.lit("/p[1]")), ["doc_id"])
+
+
+def chapter_playlists(spark, sf_dir):
+    """Playlists of books whose chapters are users' events."""
+    e = _events(spark, sf_dir)
+    name = lambda kind: F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit(kind))
+    rows = e.select((F.col("user_id") % 10).alias("book_id"), F.col("user_id").alias("chapter_pos"), name("").alias("spine_item_id"), name(".xhtml").alias("xhtml_filename"), name(".mp3").alias("audio_filename"), "pos", text.element_id(F.col("event_id")).alias("element_id"), "start_ms", "end_ms")
+    heads = rows.select("book_id", "xhtml_filename", "audio_filename").distinct()
+    files = heads.select("book_id", F.explode(F.array(F.concat(F.lit("OEBPS/text/"), "xhtml_filename"), F.concat(F.lit("OEBPS/audio/"), "audio_filename"))).alias("path"))
+    return packages.chapter_playlists(files, rows)
+
+
+def relative_paths(spark, sf_dir):
+    k = F.col("p_partkey")
+    path, folder = F.concat(_pick(["a/b/", "a/", "", "a/d/e/"], k), F.replace("p_brand", F.lit("#"), F.lit("-"))), _pick(["a/b", "a", "", "a/d/f", "z"], k)
+    return _t(spark, sf_dir, "part").select("p_partkey", path.alias("path"), folder.alias("folder"), text.relative(path, folder).alias("relative"))
+
+
+def reading_order(spark, sf_dir):
+    p = _t(spark, sf_dir, "part").withColumn("book_id", F.col("p_partkey") % 50)
+    refs = p.select("book_id", F.col("p_partkey").alias("ref_pos"), F.concat(F.lit("i"), (F.floor(F.col("p_partkey") / 50) % 60).cast("string")).alias("idref"))
+    items = p.select("book_id", F.col("p_partkey").alias("item_pos"), F.concat(F.lit("i"), F.col("p_size").cast("string")).alias("id"), F.concat(F.lit("t/"), F.col("p_partkey").cast("string"), _pick([".xhtml", ".html", ".css", ".HTML", ".ncx"], F.col("p_partkey"))).alias("href"), _pick(["application/xhtml+xml", "text/css", "Text/HTML"], F.floor(F.col("p_partkey") / 5)).alias("media_type"))
+    return books.join_manifest(refs, items, ["book_id"])
+
+
+def spine_labels(spark, sf_dir):
+    pages = _t(spark, sf_dir, "pages")
+    spine = pages.select((F.col("page_id") % 20).cast("long").alias("book_id"), F.col("page_id").alias("spine_pos"), F.concat(F.lit("text/p"), (F.col("page_id") % 30).cast("string"), F.lit(".xhtml#a")).alias("href"))
+    k = F.col("p_partkey")
+    nav = _t(spark, sf_dir, "part").select((k % 20).cast("long").alias("book_id"), F.concat(_pick(["text/p", "p"], F.floor(k / 20)), (F.col("p_size") % 40).cast("string"), F.lit(".xhtml")).alias("target"), F.when(k % 7 != 0, F.col("p_name")).otherwise("").alias("label"), _pick(["toc", "toc", "guide"], k).alias("kind"), k.alias("seq"))
+    return books.labelled(spine, nav).select("spine_pos", "book_id", F.coalesce("label", F.lit("-")).alias("label"), F.coalesce("guide_type", F.lit("-")).alias("guide_type"))
+
+
+def audio_formats(spark, sf_dir):
+    k = F.col("p_partkey")
+    heads = ["494433", "FFFB90", "00000020667479704D344220", "000000206674797061617863", "000000206674797061617820", "", "00", "FFD8"]
+    path = F.concat(F.lit("a/"), F.col("p_brand"), _pick([".mp3", ".M4A", ".aaxc", ".wav", ".mp4"], F.floor(k / 8)))
+    found = timelines.audio_format(F.unhex(_pick(heads, k)), path, _pick([None, None, None, "M4B ", "aaxc", "aax ", "mp3"], k))
+    return _t(spark, sf_dir, "part").select("p_partkey", F.coalesce(found, F.lit("-")).alias("format"))
+
+
+def dead_links(spark, sf_dir):
+    p, s = _t(spark, sf_dir, "part"), _t(spark, sf_dir, "supplier")
+    links = p.select((F.col("p_partkey") % 40).alias("book_id"), F.concat(F.lit("t"), F.col("p_size").cast("string"), F.lit(".xhtml")).alias("src")).distinct()
+    files = s.select((F.col("s_suppkey") % 40).alias("book_id"), F.concat(F.lit("t"), (F.col("s_suppkey") % 50).cast("string"), F.lit(".xhtml")).alias("path")).distinct()
+    files = files.unionByName(s.filter("s_suppkey % 2 = 0").select((F.col("s_suppkey") % 40).alias("book_id"), F.lit("titlepage.xhtml").alias("path")).distinct())
+    return overlay.dead_links(links, files, ["book_id"]).select(F.col("book_id").cast("long").alias("book_id"), "src", F.coalesce("new_src", F.lit("-")).alias("new_src"))
+
+
+def overlay_links(spark, sf_dir):
+    """Books of twenty parts: playlists find their text by id, by path or by the stem of its name."""
+    p = _t(spark, sf_dir, "part").withColumn("book_id", F.floor(F.col("p_partkey") / 20))
+    k, at = F.col("p_partkey"), lambda c: c.cast("string")
+    smils = p.select("book_id", F.concat(F.lit("s"), at(k)).alias("smil_id"), F.concat(F.lit("c"), at(F.col("p_size"))).alias("chapter_id"), F.concat(F.lit("x/p"), at(k % 17), F.lit(".xhtml")).alias("xhtml_path"))
+    items = p.select("book_id", F.concat(F.lit("c"), at(k % 50)).alias("item_id"), F.concat(_pick(["x/p", "y/p"], k), at(F.col("p_size") % 17), F.lit(".xhtml")).alias("href"), _pick(["application/xhtml+xml", "text/html", "text/css"], k).alias("media_type"))
+    return overlay.link_overlays(smils, items, ["book_id"])
+
+
+def active_styles(spark, sf_dir):
+    css = F.when(F.col("p_partkey") % 4 == 0, F.lit(None)).when(F.col("p_partkey") % 4 == 1, ".-epub-media-overlay-active {}").when(F.col("p_partkey") % 4 == 2, "").otherwise(F.concat(F.lit("p {} /* "), "p_name", F.lit(" */ \n\n")))
+    return _t(spark, sf_dir, "part").select("p_partkey", overlay.active_style(css).alias("css"))
+
+
+def chapters_with_text(spark, sf_dir):
+    """Documents that have sentences, as chapters."""
+    d = _t(spark, sf_dir, "documents").select("doc_id", "lang")
+    return mapping.with_sentences(d, _sentences(spark, sf_dir), ["doc_id"])
+
+
 NAMES = [
     sentence_spans, sentence_ids, word_tokens, word_norm, chapter_titles, html_blocks, block_segments, section_reasons, title_numbers, title_fuzzy,
     timeline_continuous, clip_faults, timeline_clamp, timeline_validate, gap_interpolate, durations_rollup, last_clip_end, clocks, positional_map,
     subsequence_map, unit_map, manual_map, word_match, sentence_align, span_overlap, wrapped_segments, skip_filter, id_checks, id_collisions, element_ids,
     probe_json, audio_units, alignment_json, playlists, mime_lookup, unique_ids, first_distinct, best_file, block_groups, block_checks, svg_items, paths,
-    readable_durations, total_chars, previews,
+    readable_durations, total_chars, previews, rewritten_documents, chapter_playlists, relative_paths, reading_order, spine_labels, audio_formats, dead_links,
+    overlay_links, active_styles, chapters_with_text,
 ]
 
 

@@ -31,6 +31,7 @@ _TITLES = [
     "Chapter", "Contents of", "Dramatis Personae", "All Rights Reserved", "Half Title", "Dedication", "Epigraph", "Books by", "Timeline", "Appendix",
     "About the Author", "Colophon", "Glossary", "Footnotes", "Preview", "Contentsof", "Part", "Notes", "Prologue", "TOC", "Act",
 ]
+_ESC = lambda c: f"replace(replace(replace({c}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
 
 SQL: dict[str, str] = {
     "sentence_spans": f"WITH {_SENTENCES} SELECT doc_id, pos, char_start, char_end, text FROM s",
@@ -179,4 +180,44 @@ SELECT page_id, trim(replace(replace(replace(replace(CASE WHEN trim(a) <> '' THE
     "title_numbers": """WITH p AS (SELECT p_partkey, p_partkey % 6 + 1 AS h, p_partkey // 6 % 8 + 1 AS n FROM part)
 SELECT p_partkey, ['Ch.', 'Chapter', 'PT', 'Bk.', '', 'Scene'][h] || ' ' || ['Twenty-One', 'XIV', '3', 'first', '2nd', 'iii', 'Forty Two', 'x'][n] AS title,
   ltrim(['chapter', 'chapter', 'part', 'book', '', 'scene'][h] || ' ' || ['21', '14', '3', '1', '2', '3', '42', '10'][n]) AS normal FROM p""",
+    "rewritten_documents": f"""WITH {_SENTENCES}, x AS (SELECT d.doc_id, d.text, pos, char_start AS a, char_end AS b, coalesce(lag(char_end) OVER (PARTITION BY d.doc_id ORDER BY pos), 0) AS u
+  FROM documents d JOIN s ON d.doc_id = s.doc_id),
+r AS (SELECT doc_id, max(b) AS upto, string_agg({_ESC("substr(text, u + 1, a - u)")} || '<span id="s' || pos || '">' || {_ESC("substr(text, a + 1, b - a)")} || '</span>', '' ORDER BY pos) AS made FROM x GROUP BY doc_id)
+SELECT d.doc_id, '<p>' || coalesce(made, '') || {_ESC("substr(text, coalesce(upto, 0) + 1)")} || '</p>' AS markup, CAST(NULL AS VARCHAR) AS fault FROM documents d LEFT JOIN r ON d.doc_id = r.doc_id""",
+    "chapter_playlists": f"""WITH {_EVENTS}, c AS (
+  SELECT user_id, event_id, pos, CASE WHEN pos = 1 THEN 0 ELSE greatest(start_ms, lag(end_ms) OVER w) END AS a, greatest(end_ms, coalesce(lead(start_ms) OVER w, end_ms)) AS b
+  FROM tl WINDOW w AS (PARTITION BY user_id ORDER BY pos)),
+g AS (SELECT user_id, CAST(max(b) AS BIGINT) AS duration_ms, count(*) AS par_count,
+  string_agg(printf('<par id="par_%04d"><text src="u%d.xhtml#mo_s_%04d"/><audio src="../audio/u%d.mp3" clipBegin="%d.%03ds" clipEnd="%d.%03ds"/></par>', pos, user_id, event_id, user_id, a // 1000, a % 1000, b // 1000, b % 1000), chr(10) ORDER BY pos) AS pars
+  FROM c GROUP BY user_id)
+SELECT user_id % 10 AS book_id, user_id AS chapter_pos, 'u' || user_id AS chapter_id, 'OEBPS/text/u' || user_id || '.smil' AS smil_path, 'OEBPS/text/u' || user_id || '.xhtml' AS text_path,
+  'OEBPS/audio/u' || user_id || '.mp3' AS audio_path, duration_ms, par_count, {_HMS("duration_ms")} AS clock,
+  '<?xml version="1.0" encoding="utf-8"?>' || chr(10) || '<smil xmlns="http://www.w3.org/ns/SMIL" xmlns:epub="http://www.idpf.org/2007/ops" version="3.0"><body><seq epub:textref="u' || user_id || '.xhtml">' || chr(10)
+  || pars || chr(10) || '</seq></body></smil>' || chr(10) AS smil FROM g""",
+    "relative_paths": """WITH p AS (SELECT p_partkey, p_partkey % 4 + 1 AS i, p_partkey % 5 + 1 AS j, replace(p_brand, '#', '-') AS n FROM part)
+SELECT p_partkey, ['a/b/', 'a/', '', 'a/d/e/'][i] || n AS path, ['a/b', 'a', '', 'a/d/f', 'z'][j] AS folder,
+  [['', 'b/', 'a/b/', '../../b/', '../a/b/'], ['../', '', 'a/', '../../', '../a/'], ['../../', '../', '', '../../../', '../'], ['../d/e/', 'd/e/', 'a/d/e/', '../e/', '../a/d/e/']][i][j] || n AS relative FROM p""",
+    "reading_order": """WITH p AS (SELECT *, p_partkey % 50 AS book_id, p_partkey AS k FROM part),
+m AS (SELECT book_id, 'i' || p_size AS id, max(k) AS k FROM p GROUP BY ALL),
+i AS (SELECT book_id, id, 't/' || k || ['.xhtml', '.html', '.css', '.HTML', '.ncx'][k % 5 + 1] AS href, ['application/xhtml+xml', 'text/css', 'Text/HTML'][k // 5 % 3 + 1] AS media_type FROM m)
+SELECT p.book_id, i.id, p.k AS ref_pos, href, media_type FROM p JOIN i ON p.book_id = i.book_id AND i.id = 'i' || (p.k // 50 % 60)
+WHERE lower(media_type) IN ('application/xhtml+xml', 'text/html') OR lower(href) LIKE '%.html' OR lower(href) LIKE '%.xhtml'""",
+    "spine_labels": """WITH n AS (SELECT p_partkey % 20 AS book_id, ['text/p', 'p'][p_partkey // 20 % 2 + 1] || (p_size % 40) || '.xhtml' AS target, CASE WHEN p_partkey % 3 = 2 THEN 'guide' ELSE 'toc' END AS kind,
+  arg_max(CASE WHEN p_partkey % 7 <> 0 THEN p_name ELSE '' END, p_partkey) AS label FROM part GROUP BY ALL),
+s AS (SELECT CAST(page_id % 20 AS BIGINT) AS book_id, page_id AS spine_pos, 'p' || (page_id % 30) || '.xhtml' AS base FROM pages),
+l AS (SELECT s.*, kind, arg_min(label, CASE WHEN target = base THEN 1 ELSE 0 END) FILTER (label <> '') AS label FROM s JOIN n ON n.book_id = s.book_id AND target IN (base, 'text/' || base) GROUP BY ALL)
+SELECT s.spine_pos, s.book_id, coalesce(t.label, '-') AS label, coalesce(g.label, '-') AS guide_type FROM s
+LEFT JOIN l t ON t.spine_pos = s.spine_pos AND t.kind = 'toc' LEFT JOIN l g ON g.spine_pos = s.spine_pos AND g.kind = 'guide'""",
+    "audio_formats": """SELECT p_partkey, coalesce([NULL, NULL, NULL, '.m4b', '.aaxc', '.aax', '.mp3'][p_partkey % 7 + 1], ['.mp3', '.mp3', '.m4b', '.aaxc', '.aax', NULL, NULL, NULL][p_partkey % 8 + 1],
+  ['.mp3', '.m4b', '.aaxc', NULL, '.m4b'][p_partkey // 8 % 5 + 1], '-') AS format FROM part""",
+    "dead_links": """WITH l AS (SELECT DISTINCT p_partkey % 40 AS book_id, 't' || p_size || '.xhtml' AS src FROM part),
+f AS (SELECT DISTINCT s_suppkey % 40 AS book_id, 't' || (s_suppkey % 50) || '.xhtml' AS src FROM supplier), t AS (SELECT DISTINCT s_suppkey % 40 AS book_id FROM supplier WHERE s_suppkey % 2 = 0)
+SELECT CAST(l.book_id AS BIGINT) AS book_id, l.src, CASE WHEN t.book_id IS NULL THEN '-' ELSE 'titlepage.xhtml' END AS new_src FROM l ANTI JOIN f ON l.book_id = f.book_id AND l.src = f.src LEFT JOIN t ON t.book_id = l.book_id""",
+    "overlay_links": """WITH p AS (SELECT *, p_partkey // 20 AS book_id, p_partkey AS k FROM part),
+i AS (SELECT book_id, 'c' || (k % 50) AS item_id, ['x/', 'y/'][k % 2 + 1] AS dir, 'p' || (p_size % 17) AS name FROM p WHERE k % 3 <> 2),
+m AS (SELECT p.book_id, 's' || k AS smil_id, item_id, CASE WHEN item_id = 'c' || p_size THEN 0 WHEN dir = 'x/' AND name = 'p' || (k % 17) THEN 1 WHEN name = 'p' || (k % 17) THEN 2 END AS r FROM p JOIN i ON p.book_id = i.book_id)
+SELECT book_id, smil_id, arg_min(item_id, (r, item_id)) AS item_id FROM m WHERE r IS NOT NULL GROUP BY book_id, smil_id""",
+    "active_styles": """SELECT p_partkey, CASE WHEN p_partkey % 4 = 1 THEN '.-epub-media-overlay-active {}' ELSE CASE WHEN p_partkey % 4 = 3 THEN 'p {} /* ' || p_name || ' */' || chr(10) || chr(10) ELSE '' END
+  || '.-epub-media-overlay-active {' || chr(10) || '  background-color: #ffe58a;' || chr(10) || '}' || chr(10) END AS css FROM part""",
+    "chapters_with_text": f"WITH {_SENTENCES} SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM s)",
 }
