@@ -10,6 +10,12 @@ def to_ms(seconds: Column) -> Column:
     return F.rint(seconds * 1000).cast("long")
 
 
+def epoch_ms(ts: Column) -> Column:
+    """Milliseconds from 1970 by date and time of day, whatever the session's time zone; half a millisecond goes away from 1970."""
+    us = F.unix_date(F.to_date(ts)).cast("long") * 86_400_000_000 + (F.hour(ts) * 3600 + F.minute(ts) * 60).cast("long") * 1_000_000 + (F.date_part(F.lit("SECOND"), ts) * 1_000_000).cast("long")
+    return F.round(us.cast("decimal(20,0)") / 1000).cast("long")
+
+
 def span(start: Column, stop: Column) -> Column:
     return F.greatest(F.lit(0), stop - start)
 
