@@ -111,6 +111,13 @@ def test_titles():
     assert markup.title_of("<body><p>line\nnext</p>", None, " First. ") == "First." and markup.title_of("<body><p>line\nnext</p>") == "line" and markup.title_of(None) == ""
 
 
+def test_title_has_references_that_end():
+    head = "<head><script>a && b</script><title>{}</title></head>"
+    titles = ["A&amp;&amp; B&amp", "&ampx; &lt &lt;", "&amp;lt; & &nosuch; &#38 &#38;", "R&D &copy 1"]
+    assert [markup.title_of(head.format(t)) for t in titles] == ["A&& B&amp", "&ampx; &lt <", "&lt; & &nosuch; &#38 &", "R&D &copy 1"]
+    assert markup.title_of("<body><h1>A&lt</h1>") == "A&lt" and markup.title_of("<body><p>a&amp\nb") == "a&amp"
+
+
 def test_probe(spark):
     ticks = {"chapters": [{"start": 5000, "end": 15000, "time_base": "1/1000", "tags": {"title": "A"}}, {"start_time": "15.0", "end_time": "15.0"}]}
     rows = [("a", json.dumps(ticks)), ("b", json.dumps({"chapters": [], "format": {"duration": "42.5", "tags": {"title": "T"}}})), ("c", "{}")]
