@@ -207,6 +207,23 @@ def test_repeats(spark, most):
     assert any(v[1] for v in want.values())
 
 
+def test_windows_of_a_frequent_anchor(spark, monkeypatch):
+    """Segments of one anchor are compared by windows only where many share half of what is around it as well."""
+    rng = random.Random(6)
+    text = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    line = text(60)
+    rows = [(i, text(90) + line + text(90)) for i in range(40)]
+    rows += [(40 + i, text(30) + rows[i][1][30 - i :] + text(20)) for i in range(12)]
+    kept, store = [], suffix_dedup.stored
+    monkeypatch.setattr(suffix_dedup, "stored", lambda df: kept.append(store(df)) or kept[-1])
+    want = repeats_by_hand(rows)
+    got = suffix_dedup.remove_repeats(docs(spark, rows), most=5).collect()
+    assert {r["doc_id"]: hashlib.sha256(r["kept"]).hexdigest() for r in got} == {d: v[3] for d, v in want.items()} and any(v[1] for v in want.values())
+    by_windows = lambda df: df.filter("k > 5").count()
+    with_text = [df for df in kept if {"k", "seg"} <= set(df.columns)]
+    assert by_windows(with_text[0]) > 5 and by_windows(with_text[-1]) < by_windows(with_text[0]) / 2
+
+
 def test_repeats_edges(spark):
     got = suffix_dedup.query(docs(spark, EDGE)).collect()
     assert len(got) == len(EDGE) and {r["doc_id"]: r["n_removed"] for r in got}[4] == repeats_by_hand(EDGE[4:5])[4][1] == 29_999

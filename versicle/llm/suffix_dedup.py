@@ -9,8 +9,9 @@ Classes that share an anchor are sorted together in bounded collections: each ro
 segment, finds its place from the Burrows-Wheeler transform so far and updates transform and common prefixes in one
 sequential pass. Windows are equal where the common prefix is `width` or more.
 
-Anchors with more than `most` classes are not put into one collection: their windows are compared by hash, with
-partial aggregates, which gives the same result.
+Anchors with more than `most` classes are not put into one collection. Their segments are parted by the side on which a
+window reaches half of what it has besides the anchor, and dealt by that half; a half that occurs once holds no repeat.
+Where more than `most` parts share a half, their windows are compared by hash, with partial aggregates. The result is the same.
 
 Hashes are 64 bits; windows on the latter way carry two.
 
@@ -22,6 +23,7 @@ result; further columns are not read.
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -210,6 +212,24 @@ def may_share(keys: list[int], segments: list[bytes], off: list[int], width: int
     return np.array([any(e and ends[e] > 1 for e in both) for both in sides], bool)
 
 
+def halves(batches, width: int = WIDTH, gram: int = GRAM):
+    """Rows (key, o, h, s, doc, g, a, p, seg) of segments (h, s, doc, g, a, p, seg): the windows that reach half of what they
+    have besides the anchor to its left, and the others, which reach as much to its right. Windows that are equal are in
+    parts with the same half, and so with the same key. o is where a part begins in its segment."""
+    half = (width - gram) // 2
+    for b in batches:
+        out = []
+        for h, s, doc, g, a, p, seg in zip(*(b.column(c).to_pylist() for c in ("h", "s", "doc", "g", "a", "p", "seg"))):
+            cut = max(0, p - half + 1)  # the first window that does not reach as far to the left
+            for o, part, side, at in ((0, seg[: cut + width - 1], b"l", p - half), (cut, seg[cut:], b"r", p + gram)):
+                if len(part) >= width and (side == b"r" or cut):
+                    key = xxhash.xxh3_64_intdigest(seg[at : at + half] + side + h.to_bytes(8, "little", signed=True))
+                    out.append((key - (1 << 64) if key >> 63 else key, o, h, s, doc, g, a + o, p - o, part))
+        if out:
+            cols = list(zip(*out))
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:8]), pa.array(cols[8], pa.binary())], names=["key", "o", "h", "s", "doc", "g", "a", "p", "seg"])
+
+
 def _bytes_of(docs: DataFrame, wanted: DataFrame, name: str) -> DataFrame:
     """(doc_id, g, z) with the compressed texts, and (_doc, _g, name) of wanted (doc, g, name)."""
 
@@ -256,32 +276,37 @@ def repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, most: int = M
             yield _segments(out)
 
     segments = stored(joined.mapInArrow(cut_out, "h long, s long, doc long, g long, a long, k long, p long, seg binary"))
-    collections = (segments.filter(F.col("k") <= most).count() // COLLECTION) + 1
+    halved = segments.filter(F.col("k") > most).mapInArrow(lambda batches: halves(batches, width, gram), "key long, o long, h long, s long, doc long, g long, a long, p long, seg binary")
+    sizes = halved.groupBy("key").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
+    halved = stored(halved.hint("merge").join(sizes.hint("merge"), "key"))
+    few = segments.filter(F.col("k") <= most).select(F.col("h").alias("key"), F.lit(0).cast("long").alias("o"), "h", "s", "doc", "g", "a", "p", "seg")
+    few = few.unionByName(halved.filter(F.col("k") <= most).drop("k"))
+    collections = (few.count() // COLLECTION) + 1
 
     def sort(batch: pa.Table) -> pa.Table:
         segs = batch.column("seg").to_pylist()
-        keep = np.flatnonzero(may_share(batch.column("h").to_pylist(), segs, batch.column("p").to_pylist(), width, gram))
+        keep = np.flatnonzero(may_share(batch.column("key").to_pylist(), segs, batch.column("p").to_pylist(), width, gram))
         batch, segs = batch.take(keep), [segs[i] for i in keep]
         place = np.stack([batch.column(c).to_numpy() for c in ("doc", "g")], 1)
         doc = np.unique(place, axis=0, return_inverse=True)[1].ravel()
         x, off = repeated_windows(segs, doc, batch.column("a").to_numpy(), width)
-        h, s = batch.column("h").to_numpy(), batch.column("s").to_numpy()
-        return pa.table({"h": h[x], "s": s[x], "off": off.astype(np.int32)})
+        h, s, o = (batch.column(c).to_numpy() for c in ("h", "s", "o"))
+        return pa.table({"h": h[x], "s": s[x], "off": (o[x] + off).astype(np.int32)})
 
-    few = segments.filter(F.col("k") <= most).withColumn("c", F.pmod(F.xxhash64("h"), F.lit(collections)))
+    few = few.withColumn("c", F.pmod(F.xxhash64("key"), F.lit(collections)))
     gone = few.groupBy("c").applyInArrow(sort, "h long, s long, off int")
 
     def windows(batches):
         for b in batches:
             out = []
-            for h, s, doc, g, a, seg in zip(*(b.column(c).to_pylist() for c in ("h", "s", "doc", "g", "a", "seg"))):
+            for h, s, doc, g, a, o, seg in zip(*(b.column(c).to_pylist() for c in ("h", "s", "doc", "g", "a", "o", "seg"))):
                 data = np.frombuffer(seg, np.uint8)
                 at = np.arange(len(data) - width + 1)
-                out.append((np.full(len(at), h), np.full(len(at), s), np.full(len(at), doc), np.full(len(at), g), a + at, at, Hasher(data).of(at, at + width).view(np.int64), Hasher(data, 0xA24BAED4963EE407).of(at, at + width).view(np.int64)))
+                out.append((np.full(len(at), h), np.full(len(at), s), np.full(len(at), doc), np.full(len(at), g), a + at, o + at, Hasher(data).of(at, at + width).view(np.int64), Hasher(data, 0xA24BAED4963EE407).of(at, at + width).view(np.int64)))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["h", "s", "doc", "g", "at", "off", "x", "y"])
 
-    each = segments.filter(F.col("k") > most).mapInArrow(windows, "h long, s long, doc long, g long, at long, off long, x long, y long")
+    each = halved.filter(F.col("k") > most).mapInArrow(windows, "h long, s long, doc long, g long, at long, off long, x long, y long")
     least = each.groupBy("x", "y").agg(F.min(F.struct("doc", "g", "at")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("x", "y", F.col("first.doc").alias("d0"), F.col("first.g").alias("g0"), F.col("first.at").alias("a0"))
     hot = each.hint("merge").join(least.hint("merge"), ["x", "y"]).filter("doc <> d0 OR g <> g0 OR at <> a0").select("h", "s", F.col("off").cast("int").alias("off"))
     masks = gone.unionByName(hot).groupBy("h", "s").agg(F.array_sort(F.collect_set("off")).alias("offs"))
