@@ -167,6 +167,42 @@ def test_components_edges(spark):
     assert shingle_join.query(docs(spark, [])).count() == 0
 
 
+def test_packed_prefixes_are_small():
+    rng = np.random.default_rng(6)
+    prefixes = [rng.integers(0, 1 << 64, n, np.uint64) for n in (0, 1, 70_000, *[74] * 4000)]
+    owners = [3, 5, 7, *range(20, 12_020, 3)]
+    parts = shingle_join._parted(prefixes, owners)
+    assert sum(len(t) + len(z) for _, t, z in parts) < 7 * sum(map(len, prefixes))  # a row of token, class and place took 20 and was sent twice
+    got = set()
+    for part, tokens, places in parts:
+        owner, at = shingle_join._read_places(places)
+        got |= set(zip((part << 32 | np.frombuffer(tokens, "<u4").astype(np.int64)).tolist(), owner.tolist(), at.tolist()))
+    want = {(int(t >> 32) % shingle_join.PARTS << 32 | int(t) & 0xFFFFFFFF, o, min(i, 65535)) for o, p in zip(owners, prefixes) for i, t in enumerate(p.tolist())}
+    assert got == want and shingle_join._parted([], []) == []
+
+
+def test_shared_tokens(spark):
+    rows = near_copies(random.Random(3), 150)
+    rows += [(1000 + d, t) for d, t in rows[:50]] + [(2000 + i, t) for i, (_, t) in enumerate(EDGE)]
+    g1, g2 = shingle_join.row_key()
+    d = docs(spark, rows).repartition(5).select("doc_id", g1.alias("g1"), g2.alias("g2"), "text")
+    rarity = np.zeros(1 << shingle_join.SKETCH_BITS, np.uint8)
+    found = shingle_join.classes(d, spark.sparkContext.broadcast(rarity), 4, 85).persist()
+    whose = {r["key"]: r["v"] for r in found.filter("part IS NULL").collect()}
+    assert len(whose) == len(rows)
+    met = {}
+    for b, key, at in shingle_join.shared(found.filter("part IS NOT NULL")).collect():
+        met.setdefault(b, set()).add((whose[key], at))
+    want = {}
+    for (_, t), s in zip(rows, shingle_join.shingle_sets([t for _, t in rows], 4)):
+        if len(s) >= shingle_join.least_size(85):
+            for at, token in enumerate(shingle_join._first(s, rarity[shingle_join._slots(s)], shingle_join.prefix_size(len(s), 85), 0).tolist()):
+                want.setdefault((token >> 32) % shingle_join.PARTS << 32 | token & 0xFFFFFFFF, set()).add((shingle_join.class_of(s, t, 4)[0], at))
+    several = lambda m: {b: c for b, c in m.items() if len({v for v, _ in c}) > 1}
+    assert several(met) == several(want) != {}
+    found.unpersist()
+
+
 def test_near_duplicate_stage_takes_five_words(spark):
     rows = near_copies(random.Random(3), 150)
     want = {c for _, _, c in components(rows, 5, 80)}

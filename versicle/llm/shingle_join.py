@@ -2,8 +2,10 @@
 
 Documents become sets of hashed word shingles; equal sets are one class, known by 128 bits. A sketch of document
 frequencies puts rare shingles first, and several hash orders break its ties, each giving every class a prefix that any
-partner at the threshold must meet. Classes that meet in the first order's prefix are in one bucket. Pairs that are to
-be verified must have fitting sizes, fit by the places at which they meet, and meet in all further orders too.
+partner at the threshold must meet. Most tokens of the first order's prefixes are one document's only, so they are dealt
+once, packed to about six bytes each, and only those that two documents share become rows. Classes that share one are in
+one bucket. Pairs that are to be verified must have fitting sizes, fit by the places at which they meet, and meet in all
+further orders too.
 
 Large buckets are not expanded into pairs. Each bucket has a pivot p, the member that meets most. For any p the sets x
 and y differ as much as their differences to p do: x ^ y = (x ^ p) ^ (y ^ p). What a group of near copies has in common
@@ -29,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +42,9 @@ ORDERS = 3
 SKETCH_BITS, SKETCH_BLOCK = 24, 16384
 #: Pairs for each membership of a bucket up to which all pairs are taken at once.
 FEW = 2
+#: A part of the hash space is read at once: about 20,000 tokens at 0.5 GB of texts, a million at 30 GB.
+PARTS = 1024
+_BLOCK_ROWS = 1 << 16
 _U = np.uint64
 _BLOCK_BYTES = 1 << 22
 #: Words of more bytes are hashed one by one.
@@ -171,24 +177,83 @@ def _first(s: np.ndarray, magnitude: np.ndarray, k: int, order: int) -> np.ndarr
 
 
 def classes(docs: DataFrame, counts, size: int, percent: int) -> DataFrame:
-    """(doc_id, g1, g2, v, w, n, p): row key, class, set size and the first order's prefix, for docs (doc_id, g1, g2, text)."""
+    """(doc_id, g1, g2, v, w, n, key, part, tokens, places) for docs (doc_id, g1, g2, text): a row with part null for each
+    of docs, with its class and set size, and rows that hold the first order's prefixes of a block of documents, dealt to
+    PARTS parts of the hash space.
 
-    def run(batches):
-        rarity = counts.value
-        for b in batches:
-            texts = b.column("text").to_pylist()
-            v, w, n, p = [], [], [], []
-            for t, s in zip(texts, shingle_sets(texts, size)):
-                one, two = class_of(s, t, size) if len(s) else (0, 0)
-                v.append(one)
-                w.append(two)
-                n.append(len(s))
-                p.append(_first(s, rarity[_slots(s)], prefix_size(len(s), percent), 0).view(np.int64) if len(s) >= least_size(percent) else s[:0].view(np.int64))
-            cols = [b.column("doc_id"), b.column("g1"), b.column("g2"), pa.array(v, pa.int64()), pa.array(w, pa.int64()), pa.array(n, pa.int32()), _lists(p, np.int64)]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "g1", "g2", "v", "w", "n", "p"])
+    In such a row, tokens are 32 bits of each token, as part has further bits of it; places are whose it is and where in
+    the prefix, see _places. key + that owner is the key of a row of docs. A class is an owner once in a block."""
 
+    def run(batches):
+        rarity, at = counts.value, TaskContext.get().partitionId() << 40
+        for whole in batches:
+            for b in (whole.slice(i, _BLOCK_ROWS) for i in range(0, len(whole), _BLOCK_ROWS)):
+                texts = b.column("text").to_pylist()
+                v, w, n, p, owners, seen = [], [], [], [], [], set()
+                for i, (t, s) in enumerate(zip(texts, shingle_sets(texts, size))):
+                    one, two = class_of(s, t, size) if len(s) else (0, 0)
+                    v.append(one)
+                    w.append(two)
+                    n.append(len(s))
+                    if len(s) >= least_size(percent) and (one, two) not in seen:
+                        seen.add((one, two))
+                        owners.append(i)
+                        p.append(_first(s, rarity[_slots(s)], prefix_size(len(s), percent), 0))
+                none = [pa.nulls(len(b), kind) for kind in (pa.int32(), pa.binary(), pa.binary())]
+                cols = [b.column("doc_id"), b.column("g1"), b.column("g2"), pa.array(v, pa.int64()), pa.array(w, pa.int64()), pa.array(n, pa.int32()), pa.array(range(at, at + len(b)), pa.int64()), *none]
+                yield pa.RecordBatch.from_arrays(cols, names=names)
+                parts = _parted(p, owners)
+                none = [pa.nulls(len(parts), c.type) for c in cols[:6]]
+                cols = [*none, pa.array([at] * len(parts), pa.int64()), *(pa.array([q[i] for q in parts], kind) for i, kind in enumerate((pa.int32(), pa.binary(), pa.binary())))]
+                yield pa.RecordBatch.from_arrays(cols, names=names)
+                at += _BLOCK_ROWS
+
+    names = ["doc_id", "g1", "g2", "v", "w", "n", "key", "part", "tokens", "places"]
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, g1 long, g2 long, v long, w long, n int, p array<long>")
+    return docs.mapInArrow(run, f"doc_id {kind}, g1 long, g2 long, v long, w long, n int, key long, part int, tokens binary, places binary")
+
+
+def _parted(prefixes: list[np.ndarray], owners: list[int]) -> list[tuple[int, bytes, bytes]]:
+    """(part, tokens, places) for all parts of which the owners' prefixes have tokens."""
+    token = np.concatenate([*prefixes, np.empty(0, np.uint64)])
+    owner = np.repeat(np.array(owners, np.int64), [len(p) for p in prefixes])
+    at = np.concatenate([*map(np.arange, map(len, prefixes)), np.empty(0, np.int64)])
+    part = ((token >> _U(32)) % _U(PARTS)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    token, owner, at = token[order].astype("<u4"), owner[order], at[order]
+    ends = np.cumsum(np.bincount(part, minlength=PARTS))
+    starts = np.r_[0, ends[:-1]]
+    return [(int(k), token[a:b].tobytes(), _places(owner[a:b], at[a:b])) for k, a, b in zip(range(PARTS), starts, ends) if b > a]
+
+
+def _places(owner: np.ndarray, at: np.ndarray) -> bytes:
+    """Ascending owners and places in their prefixes, compressed. Places count up to 65535: a lower place only rules out less."""
+    both = np.stack([np.diff(owner, prepend=0), np.minimum(at, 0xFFFF)]).astype("<u2")
+    return zstandard.ZstdCompressor(level=3).compress(both.view(np.uint8).reshape(2, -1, 2).transpose(0, 2, 1).tobytes())
+
+
+def _read_places(places: bytes) -> tuple[np.ndarray, np.ndarray]:
+    low_high = np.frombuffer(zstandard.ZstdDecompressor().decompress(places), np.uint8).reshape(2, 2, -1).astype(np.int64)
+    steps, at = low_high[:, 0] | low_high[:, 1] << 8
+    return np.cumsum(steps), at
+
+
+def shared(parts: DataFrame) -> DataFrame:
+    """(b, key, at): the tokens, as 42 bits, that two owners or more have, with each of their owners. Tokens that only
+    agree in these bits make two classes candidates too often."""
+
+    def run(part: pa.Table) -> pa.Table:
+        token = np.concatenate([np.frombuffer(t, "<u4") for t in part.column("tokens").to_pylist()])
+        order = np.argsort(token, kind="stable")
+        same = np.diff(token[order]) == 0
+        some = order[np.r_[False, same] | np.r_[same, False]]
+        places = [_read_places(p) for p in part.column("places").to_pylist()]
+        key = np.concatenate([k + owner for k, (owner, _) in zip(part.column("key").to_pylist(), places)])
+        at = np.concatenate([at for _, at in places])
+        b = token[some].astype(np.int64) | part.column("part")[0].as_py() << 32
+        return pa.Table.from_arrays([pa.array(b, pa.int64()), pa.array(key[some], pa.int64()), pa.array(at[some], pa.int32())], names=["b", "key", "at"])
+
+    return parts.select("part", "key", "tokens", "places").groupBy("part").applyInArrow(run, "b long, key long, at int")
 
 
 def _lists(rows: list[np.ndarray], dtype) -> pa.Array:
@@ -381,17 +446,16 @@ def join(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
     g1, g2 = row_key()
     docs = docs.select("doc_id", g1.alias("g1"), g2.alias("g2"), "text")
     counts = docs.sparkSession.sparkContext.broadcast(sketch(docs, size))  # 16 MB, see SKETCH_BITS
-    rows = stored(classes(docs, counts, size, percent))
+    found = stored(classes(docs, counts, size, percent))
+    rows = found.filter("part IS NULL").drop("part", "tokens", "places")
     # 64 bits of a class do here: classes that shared them would only be candidates too often
-    tokens = rows.select("v", "n", F.posexplode("p").alias("at", "b")).select("b", "v", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("at")).alias("place"))
-    hot = tokens.groupBy("b").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).filter("lo <> hi").select("b")
-    met = stored(tokens.hint("merge").join(hot.hint("merge"), "b"))
-    once = met.groupBy("b", "v").agg(F.max("place").alias("place")).withColumn("n", F.shiftright("place", 32).cast("int")).withColumn("at", F.col("place").bitwiseAND((1 << 32) - 1).cast("int"))
+    met = stored(shared(found.filter("part IS NOT NULL")))
+    once = met.hint("merge").join(rows.select("key", "v", "n").hint("merge"), "key").groupBy("b", "v").agg(F.max("n").alias("n"), F.min("at").alias("at"))
     # most buckets hold two classes that share a phrase; what their sizes and places rule out needs no text
     ends = once.groupBy("b").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("total"), (F.max("n") - F.min("n")).alias("apart"), F.min(F.col("n") - F.col("at")).alias("left"))
     most = _most("total", percent)
-    able = ends.filter((F.col("m") > 2) | ((F.col("apart") <= most) & (2 * F.col("left") >= F.col("total") - most))).select("b")
-    once = stored(once.drop("place").hint("merge").join(able.hint("merge"), "b"))
+    able = ends.filter((F.col("m") > 2) | ((F.col("m") == 2) & (F.col("apart") <= most) & (2 * F.col("left") >= F.col("total") - most))).select("b")
+    once = stored(once.hint("merge").join(able.hint("merge"), "b"))
     named = rows.filter("n > 0").groupBy("v", "w").agg(F.min("doc_id").alias("least"), F.min(F.struct("g1", "g2")).alias("g"))
     known = named.join(once.groupBy("v").agg(F.count(F.lit(1)).cast("int").alias("s")), "v").select("v", "w", "s", "g")
     known = stored(known.withColumn("x", F.monotonically_increasing_id()))
@@ -426,7 +490,7 @@ def join(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
     least = classed.filter("c IS NOT NULL").groupBy("c").agg(F.min("least").alias("component"))
     classed = classed.join(least, "c", "left").select(F.col("v").alias("v2"), F.col("w").alias("w2"), "c", F.when(F.col("c").isNull(), F.col("least")).otherwise(F.col("component")).alias("component"))
     # copies of one class may be very many: the join's exchange is split by AQE
-    out = rows.drop("p").hint("merge").join(classed.hint("merge"), (F.col("v") == F.col("v2")) & (F.col("w") == F.col("w2")) & (F.col("n") > 0), "left")
+    out = rows.drop("key").hint("merge").join(classed.hint("merge"), (F.col("v") == F.col("v2")) & (F.col("w") == F.col("w2")) & (F.col("n") > 0), "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"), "g1", "g2", "v", "w", "c")
 
