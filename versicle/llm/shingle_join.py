@@ -447,9 +447,10 @@ def join(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
     docs = docs.select("doc_id", g1.alias("g1"), g2.alias("g2"), "text")
     counts = docs.sparkSession.sparkContext.broadcast(sketch(docs, size))  # 16 MB, see SKETCH_BITS
     found = stored(classes(docs, counts, size, percent))
-    rows = found.filter("part IS NULL").drop("part", "tokens", "places")
+    rows = stored(found.filter("part IS NULL").drop("part", "tokens", "places"))
     # 64 bits of a class do here: classes that shared them would only be candidates too often
     met = stored(shared(found.filter("part IS NOT NULL")))
+    dropped(found)
     once = met.hint("merge").join(rows.select("key", "v", "n").hint("merge"), "key").groupBy("b", "v").agg(F.max("n").alias("n"), F.min("at").alias("at"))
     # most buckets hold two classes that share a phrase; what their sizes and places rule out needs no text
     ends = once.groupBy("b").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("total"), (F.max("n") - F.min("n")).alias("apart"), F.min(F.col("n") - F.col("at")).alias("left"))
