@@ -2,12 +2,43 @@
 
 import os
 import time
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 pytest.importorskip("versicle.llm")
-from versicle.llm import common  # noqa: E402
+from versicle.llm import common, shingle_join  # noqa: E402
+
+
+def test_hashing_holds_little():
+    texts = [" ".join(f"word{i % 5000}" for i in range(k, k + 100_000)) for k in range(8)]
+    tracemalloc.start()
+    try:
+        assert sum(1 for _ in shingle_join.shingle_sets(iter(texts), 5)) == 8
+        assert tracemalloc.get_traced_memory()[1] < 50 << 20
+    finally:
+        tracemalloc.stop()
+
+
+def test_sketch_in_parts(spark, monkeypatch):
+    rows = spark.createDataFrame([(f"a b c d {i % 7}",) for i in range(90)] + [(None,), ("",)], "text string")
+    whole = shingle_join.sketch(rows, 4)
+    assert whole.max() == shingle_join._magnitude(np.array([90]))[0]
+    run = shingle_join.sketch.__globals__
+    monkeypatch.setitem(run, "_COUNTED", 3)
+    assert (shingle_join.sketch(rows, 4) == whole).all()
+
+
+@pytest.mark.parametrize("kind", [pa.string(), pa.large_string()])
+def test_slices(kind):
+    texts = ["x" * 40, None, "", "y" * 300, "é" * 50, None]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, kind)], names=["text"])
+    parts = list(common.slices(batch.slice(1), "text", 100))
+    assert [t for p in parts for t in p.column("text").to_pylist()] == texts[1:] and len(parts) == 3
+    assert list(common.slices(batch.slice(6), "text")) == []
 
 
 def test_stored_leaves_no_shuffle_files(spark):

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import slices, trimmed
+
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
 NO_PAIR = np.iinfo(np.int32).max
@@ -393,13 +395,13 @@ def round_trip(docs: DataFrame, model: bytes) -> DataFrame:
 
     def run(batches):
         c = codec(model)
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, "text")):
             for at, ids in _parts(c.encode(b.column("text").to_pylist())):
                 cols = [b.column("doc_id").slice(at, len(ids)), pa.array([len(x) for x in ids], pa.int64()), _lists(ids), pa.array([c.decode(x) for x in ids], pa.string())]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_tokens", "ids", "text"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids array<int>, text string")
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), f"doc_id {kind}, n_tokens long, ids array<int>, text string")
 
 
 def digest(docs: DataFrame, model: bytes) -> DataFrame:

@@ -27,6 +27,8 @@ all its ids are null. Rows that repeat are one class. A document's own ties do n
 long texts and words are read whole. Empty tables give empty results; further columns are not read.
 """
 
+from itertools import tee
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -35,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, fingerprint, stored, text_of
+from .common import dropped, fingerprint, slices, stored, text_of, trimmed
 
 ORDERS = 3
 #: 2^24 counters: 16 MB whatever the corpus, in blocks of 16384.
@@ -45,8 +47,10 @@ FEW = 2
 #: A part of the hash space is read at once: about 20,000 tokens at 0.5 GB of texts, a million at 30 GB.
 PARTS = 1024
 _BLOCK_ROWS = 1 << 16
+#: Documents whose shingles 16 bits can count; then a task hands on its counters and starts anew.
+_COUNTED = 1 << 15
 _U = np.uint64
-_BLOCK_BYTES = 1 << 22
+_BLOCK_BYTES = 1 << 20
 #: Words of more bytes are hashed one by one.
 _LONG_WORD = 64
 _SPACE = np.zeros(256, bool)
@@ -130,26 +134,34 @@ def sketch(docs: DataFrame, size: int) -> np.ndarray:
     """Document frequencies by hash slot, over all documents. Fixed in size, so it may go to the driver and back."""
 
     def run(batches):
-        counts = np.zeros(1 << SKETCH_BITS, np.int32)
+        counts, room = np.zeros(1 << SKETCH_BITS, "<u2"), _COUNTED
+        small = counts.reshape(-1, SKETCH_BLOCK)
+        squeeze = zstandard.ZstdCompressor(level=1).compress  # most counts of one task are below 4
+
+        def out():
+            some = np.flatnonzero(small.any(1))
+            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([squeeze(small[i].tobytes()) for i in some], pa.binary())], names=["block", "counts"])
+
         for b in batches:
-            for s in shingle_sets(b.column("text").to_pylist(), size):
+            for s in shingle_sets(_texts(b), size):
+                if not room:
+                    yield out()
+                    counts[:], room = 0, _COUNTED
                 np.add.at(counts, _slots(s), 1)
-        small = counts.astype("<i4", copy=False).reshape(-1, SKETCH_BLOCK)
-        some = np.flatnonzero(small.any(1))
-        squeeze = zstandard.ZstdCompressor(level=1).compress  # most counts of one task are below 4
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([squeeze(small[i].tobytes()) for i in some], pa.binary())], names=["block", "counts"])
+                room -= 1
+        yield out()
 
     def add(batches):
         total: dict[int, np.ndarray] = {}
         for b in batches:
             for k, c in zip(b.column("block").to_pylist(), b.column("counts").to_pylist()):
-                total[k] = total.get(k, 0) + np.frombuffer(zstandard.ZstdDecompressor().decompress(c), "<i4").astype(np.int64)
+                total[k] = total.get(k, 0) + np.frombuffer(zstandard.ZstdDecompressor().decompress(c), "<u2").astype(np.int64)
         # only the magnitude matters for the order
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([_magnitude(v).tobytes() for v in total.values()], pa.binary())], names=["block", "counts"])
 
-    blocks = docs.select("text").mapInArrow(run, "block int, counts binary")
+    blocks = docs.select("text").mapInArrow(trimmed(run), "block int, counts binary")
     out = np.zeros((1 << SKETCH_BITS) // SKETCH_BLOCK * SKETCH_BLOCK, np.uint8).reshape(-1, SKETCH_BLOCK)
-    for r in blocks.repartition("block").mapInArrow(add, "block int, counts binary").toLocalIterator():
+    for r in blocks.repartition("block").mapInArrow(trimmed(add), "block int, counts binary").toLocalIterator():
         out[r["block"]] = np.frombuffer(r["counts"], np.uint8)
     return out.ravel()
 
@@ -188,9 +200,9 @@ def classes(docs: DataFrame, counts, size: int, percent: int) -> DataFrame:
         rarity, at = counts.value, TaskContext.get().partitionId() << 40
         for whole in batches:
             for b in (whole.slice(i, _BLOCK_ROWS) for i in range(0, len(whole), _BLOCK_ROWS)):
-                texts = b.column("text").to_pylist()
+                texts, same = tee(_texts(b))
                 v, w, n, p, owners, seen = [], [], [], [], [], set()
-                for i, (t, s) in enumerate(zip(texts, shingle_sets(texts, size))):
+                for i, (t, s) in enumerate(zip(texts, shingle_sets(same, size))):
                     one, two = class_of(s, t, size) if len(s) else (0, 0)
                     v.append(one)
                     w.append(two)
@@ -210,7 +222,7 @@ def classes(docs: DataFrame, counts, size: int, percent: int) -> DataFrame:
 
     names = ["doc_id", "g1", "g2", "v", "w", "n", "key", "part", "tokens", "places"]
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, g1 long, g2 long, v long, w long, n int, key long, part int, tokens binary, places binary")
+    return docs.mapInArrow(trimmed(run), f"doc_id {kind}, g1 long, g2 long, v long, w long, n int, key long, part int, tokens binary, places binary")
 
 
 def _parted(prefixes: list[np.ndarray], owners: list[int]) -> list[tuple[int, bytes, bytes]]:
@@ -267,21 +279,16 @@ def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     def squeeze(batches):
         c = zstandard.ZstdCompressor(level=3)
         for b in batches:
-            packed = pa.array([c.compress((t or "").encode()) for t in b.column("text").to_pylist()], pa.binary())
+            packed = pa.array([c.compress((t or "").encode()) for t in _texts(b)], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column("g1"), b.column("g2"), packed], names=["g1", "g2", "z"])
 
-    packed = docs.select("g1", "g2", "text").mapInArrow(squeeze, "g1 long, g2 long, z binary")
+    packed = docs.select("g1", "g2", "text").mapInArrow(trimmed(squeeze), "g1 long, g2 long, z binary")
     return packed.hint("merge").join(wanted.hint("merge"), ["g1", "g2"]).dropDuplicates(["g1", "g2"]).select("x", "z")
 
 
-def _slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20):
-    """Parts of a batch with about `most` bytes of a binary column."""
-    ends = np.frombuffer(batch.column(column).buffers()[1], np.int32)[batch.column(column).offset :][: len(batch) + 1]
-    at = 0
-    while at < len(batch):
-        to = max(at + 1, int(np.searchsorted(ends, ends[at] + most, "right")) - 1)
-        yield batch.slice(at, to - at)
-        at = to
+def _texts(batch: pa.RecordBatch):
+    for part in slices(batch, "text"):
+        yield from part.column("text").to_pylist()
 
 
 def _met(pairs: DataFrame, texts: DataFrame, size: int):
@@ -295,7 +302,7 @@ def _met(pairs: DataFrame, texts: DataFrame, size: int):
     def sets(batches):
         expand = zstandard.ZstdDecompressor().decompress
         for b in batches:
-            for part in _slices(b, "z"):
+            for part in slices(b, "z"):
                 ps, zp = part.column("p").to_pylist(), part.column("zp")
                 first = {p: i for i, p in enumerate(ps)}
                 of_p = dict(zip(first, shingle_sets([expand(zp[i].as_py()) for i in first.values()], size)))
@@ -329,7 +336,7 @@ def verified(pairs: DataFrame, texts: DataFrame, counts, size: int, percent: int
                 ok.append(100 * i >= percent * (len(x) + len(p) - i))
             yield pa.RecordBatch.from_arrays([part.column("x"), part.column("p"), pa.array(ok, pa.bool_())], names=["x", "p", "ok"])
 
-    return both.select("x", "p", "z", "zp").mapInArrow(run, "x long, p long, ok boolean").filter("ok").select("x", "p")
+    return both.select("x", "p", "z", "zp").mapInArrow(trimmed(run), "x long, p long, ok boolean").filter("ok").select("x", "p")
 
 
 def difference_prefix(d: np.ndarray, p: np.ndarray, k: int, group: int, magnitude: np.ndarray) -> np.ndarray:
@@ -375,7 +382,7 @@ def _against_pivots(pairs: DataFrame, texts: DataFrame, counts, size: int, perce
             yield pa.RecordBatch.from_arrays(cols, names=["x", "p", *kept, "common", "tokens"])
 
     types = ", ".join(f"{f} {pairs.schema[f].dataType.simpleString()}" for f in kept)
-    return both.select("x", "p", "z", "zp", *kept).mapInArrow(run, f"x long, p long, {types}, common int, tokens array<long>")
+    return both.select("x", "p", "z", "zp", *kept).mapInArrow(trimmed(run), f"x long, p long, {types}, common int, tokens array<long>")
 
 
 def _union(batches):
