@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 pytest.importorskip("versicle.llm")
-from versicle.llm import common, shingle_join  # noqa: E402
+from versicle.llm import common, pii_surrogates, shingle_join  # noqa: E402
 
 
 def test_hashing_holds_little():
@@ -52,3 +52,20 @@ def test_stored_leaves_no_shuffle_files(spark):
         time.sleep(0.1)
     assert not files() - before
     assert out.count() == 9 and spark.conf.get(common.CLEANUP, None) is None
+
+
+def test_surrogates_are_stored_in_few_files(spark, monkeypatch):
+    parts = []
+    monkeypatch.setattr(pii_surrogates, "cut", lambda df: parts.append(df.rdd.getNumPartitions()) or common.cut(df))
+    conf = {"spark.sql.shuffle.partitions": "32", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        rows = spark.createDataFrame([(i, f"Write to a{i}@b.org or call Mr. Xu{chr(97 + i)}") for i in range(26)], "doc_id long, text string")
+        got = pii_surrogates.query(rows).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len({r["text"] for r in got}) == 26 and all(r["n_entities"] == 2 for r in got)
+    assert max(parts) <= 4

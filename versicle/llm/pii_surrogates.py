@@ -139,22 +139,29 @@ def _surrogate(key: str, attempt: int) -> Column:
     return let(F.sha2(F.concat_ws("\x1f", F.lit(key), kind, canon, F.lit(str(attempt))).cast("binary"), 256), drawn)
 
 
+def _cut(df: DataFrame) -> DataFrame:
+    """cut() in an eighth of the shuffle's partitions, as entities are few beside texts. For each file and its checksum
+    Hadoop's local file system starts a process, which until it runs counts as another copy of the executor."""
+    return cut(df.coalesce(max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8)))
+
+
 def surrogates(found: DataFrame, key: str) -> DataFrame:
     """(kind, canon, surrogate), one row for each distinct entity; no surrogate is shared or equal to an entity."""
     # one person under several titles is one entity; titles that contradict each other say nothing
     known = F.when(F.min("gender") == F.max("gender"), F.min("gender")).alias("gender")
-    every = cut(found.groupBy("kind", "canon").agg(known))
+    every = _cut(found.groupBy("kind", "canon").agg(known))
     taken = every.select("kind", F.when(F.col("kind") == "name", F.initcap(F.element_at(F.split("canon", r"\|"), -1))).otherwise(F.col("canon")).alias("surrogate"))
-    left, settled = every, None
+    left, settled, n = every, None, every.count()
     for attempt in count():
         drawn = left.withColumn("surrogate", _surrogate(key, attempt))
         first = drawn.groupBy("kind", "surrogate").agg(F.min("canon").alias("canon")).join(taken, ["kind", "surrogate"], "left_anti")
-        first = cut(first.select("kind", "canon", "surrogate"))
+        first = _cut(first.select("kind", "canon", "surrogate"))
         settled = first if settled is None else settled.unionByName(first)
-        taken = taken.unionByName(first.select("kind", "surrogate"))
-        left = cut(left.join(first, ["kind", "canon"], "left_anti"))
-        if left.isEmpty():
+        n -= first.count()
+        if not n:
             return settled
+        taken = taken.unionByName(first.select("kind", "surrogate"))
+        left = _cut(left.join(first, ["kind", "canon"], "left_anti"))
         if attempt == ATTEMPTS and _full(every):
             raise RuntimeError("more entities of one kind and layout than surrogates")
 
@@ -177,7 +184,7 @@ def _rendered(kind: Column, mention: Column, surrogate: Column) -> Column:
 
 def replace_entities(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with text_col rewritten, and _entities: array<struct<kind, surrogate>> in text order."""
-    found = cut(entities(docs, id_col, text_col))
+    found = _cut(entities(docs, id_col, text_col))
     known = surrogates(found, key)
     named = found.hint("merge").join(known.hint("merge"), ["kind", "canon"])
     by_doc = (
