@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 pytest.importorskip("versicle.llm")
-from versicle.llm import common, pii_surrogates, shingle_join  # noqa: E402
+from versicle.llm import common, piece_codec, pii_surrogates, queries, shingle_join  # noqa: E402
 
 
 def test_hashing_holds_little():
@@ -69,3 +69,15 @@ def test_surrogates_are_stored_in_few_files(spark, monkeypatch):
             spark.conf.set(k, v)
     assert len({r["text"] for r in got}) == 26 and all(r["n_entities"] == 2 for r in got)
     assert max(parts) <= 4
+
+
+def test_frequent_words_stay_encoded(monkeypatch):
+    monkeypatch.setattr(piece_codec, "CACHED_WORDS", 100)
+    monkeypatch.setattr(piece_codec, "BLOCK_CHARS", 200)
+    c = piece_codec.PieceCodec(queries.model_bytes())
+    merged, merge = [], c.merge
+    monkeypatch.setattr(c, "merge", lambda words: merged.extend(words) or merge(words))
+    texts = [f"again and again rare{i} word{i * 7}" for i in range(300)]
+    got = [x.tolist() for x in c.encode(texts)]
+    assert merged.count(piece_codec.SPACE + "and") == 1 and len(c.index) <= 200
+    assert got == [next(iter(piece_codec.PieceCodec(queries.model_bytes()).encode([t]))).tolist() for t in texts[:1]] + got[1:]

@@ -14,6 +14,8 @@ import codecs
 import hashlib
 import heapq
 import re
+from collections import defaultdict
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,18 +34,6 @@ ROUNDS, CACHED_WORDS, CACHED_CHARS, BLOCK_CHARS = 400, 250_000, 1 << 22, 1 << 20
 codecs.register_error("each_byte", lambda e: ("�" * (e.end - e.start), e.end))
 
 
-class _Index(dict):
-    """Numbers words as they are met."""
-
-    def __init__(self):
-        self.new: list[str] = []
-
-    def __missing__(self, word: str) -> int:
-        self[word] = k = len(self)
-        self.new.append(word)
-        return k
-
-
 class PieceCodec:
     """Encoder and decoder of one model file's contents."""
 
@@ -117,8 +107,21 @@ class PieceCodec:
         self.spaced = np.array([p.type == NORMAL and p.piece.startswith(SPACE) for p in proto.pieces])
 
     def _forget(self) -> None:
-        self.index, self.chars = _Index(), 0
+        self.index, self.chars = defaultdict(count().__next__), 0  # numbers words as they are met
         self.flat, self.at = np.empty(0, np.int32), np.zeros(1, np.int64)
+        self.met = np.zeros(0, np.int64)
+
+    def _forget_rare(self) -> None:
+        """Keeps the words met more than once since they were last sorted out, the most frequent ones up to half of what is kept."""
+        often = np.flatnonzero(self.met > 1)
+        rows = np.sort(often[np.argsort(-self.met[often], kind="stable")[: CACHED_WORDS // 2]])
+        words = list(self.index)
+        size = np.array([len(words[i]) for i in rows], np.int64)
+        rows = rows[np.cumsum(size) <= CACHED_CHARS // 2]
+        flat, at = gather(self.flat, self.at, rows)
+        self._forget()
+        self.chars = sum(len(words[i]) for i in rows if self.index[words[i]] >= 0)
+        self.flat, self.at, self.met = flat, at, np.zeros(len(rows), np.int64)
 
     def _pairs(self) -> None:
         """Hash table of the pairs: each key is in one of two slots."""
@@ -290,14 +293,17 @@ class PieceCodec:
     def _known(self, words: list[str]) -> np.ndarray:
         """Rows of the words in flat; those not met before are merged first."""
         if len(self.index) > CACHED_WORDS or self.chars > CACHED_CHARS:
-            self._forget()
+            self._forget_rare()
+        before = len(self.index)
         rows = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-        if self.index.new:
-            flat, at = self.merge(self.index.new)
+        if new := list(islice(reversed(self.index), len(self.index) - before))[::-1]:
+            flat, at = self.merge(new)
             self.flat = np.concatenate([self.flat, flat])
             self.at = np.concatenate([self.at, self.at[-1] + at[1:]])
-            self.chars += sum(map(len, self.index.new))
-            self.index.new = []
+            self.chars += sum(map(len, new))
+        met = np.bincount(rows, minlength=len(self.index))
+        met[: len(self.met)] += self.met
+        self.met = met
         return rows
 
     def decode(self, ids: np.ndarray) -> str:
