@@ -18,7 +18,7 @@ def test_hashing_holds_little():
     tracemalloc.start()
     try:
         assert sum(1 for _ in shingle_join.shingle_sets(iter(texts), 5)) == 8
-        assert tracemalloc.get_traced_memory()[1] < 50 << 20
+        assert tracemalloc.get_traced_memory()[1] < 30 << 20
     finally:
         tracemalloc.stop()
 
